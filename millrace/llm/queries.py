@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .fingerprints import op1_imatch
+from .packing import op9_concat_cut
+from .token_files import op3_token_files
 
-QUERIES = {f.__name__: f for f in (op1_imatch,)}
+QUERIES = {f.__name__: f for f in (op1_imatch, op3_token_files, op9_concat_cut)}
 ORACLE_SQL: dict[str, str] = {}
