@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .fingerprints import op1_imatch
 from .packing import op9_concat_cut
+from .secret_scan import op10_markov
+from .sharding import op4_hypergeometric
 from .token_files import op3_token_files
 
-QUERIES = {f.__name__: f for f in (op1_imatch, op3_token_files, op9_concat_cut)}
+QUERIES = {f.__name__: f for f in (op1_imatch, op3_token_files, op4_hypergeometric, op9_concat_cut, op10_markov)}
 ORACLE_SQL: dict[str, str] = {}

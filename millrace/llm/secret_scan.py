@@ -5,9 +5,9 @@ and one letter) outside the pattern matches. One first-order model is trained on
 strings, one on ordinary identifiers; a candidate is a secret where the first model's
 log-likelihood exceeds the second's by ``threshold`` nats for each transition.
 
-Training rows are (sample, random). By default they come from the whole corpus: values of
-pattern matches are labelled random, words of 12 or more letters, digits, ``_`` and ``-`` that
-hold no digit next to a letter are labelled ordinary. Only transition counts between character
+Training rows are (sample, random). By default, values of pattern matches anywhere in the corpus
+and ``DRAWN`` strings drawn from digests (base64 and hexadecimal) are labelled random, words of
+12 or more letters, ``_`` and ``-`` anywhere in the corpus are labelled ordinary. Only transition counts between character
 classes (one for each of the 66 characters and one for all others) leave the rows: at most
 2 * 67 * 67 sums at any corpus size, which are what the driver gets.
 
@@ -37,6 +37,10 @@ CANDIDATE = r"([A-Za-z0-9+/_=-]{16,})"
 ORDINARY = r"([A-Za-z_-]{12,})"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 THRESHOLD = 0.4
+#: Drawn strings of either kind among the default training rows.
+DRAWN = 2000
+#: Weight of single-character shares in a transition's estimate, and what each character's count starts from.
+PRIOR, SMOOTH = 10.0, 1.0
 KINDS = (*PATTERNS, "markov")
 SPAN = "array<struct<start:int,k:int,end:int>>"
 
@@ -73,22 +77,30 @@ def samples(df: DataFrame, text: str = "text", base: str = "base") -> DataFrame:
     # of an assignment, the value only
     random = random.select(F.regexp_extract("s", r"([A-Za-z0-9+/_.=-]+)$", 1).alias("sample"), F.lit(True).alias("random"))
     plain = df.where(F.col(text).rlike(ORDINARY)).select(F.explode(F.regexp_extract_all(text, F.lit(ORDINARY))).alias("sample"), F.lit(False).alias("random"))
-    return random.unionByName(plain)
+    return random.unionByName(plain).unionByName(drawn(df.sparkSession))
+
+
+def drawn(spark: SparkSession, n: int = DRAWN) -> DataFrame:
+    """Random strings, labelled so: base64 and hexadecimal of digests."""
+    digest = F.sha2(F.col("id").cast("string").cast("binary"), 256)
+    return spark.range(n).select(F.explode(F.array(F.rtrim(F.base64(F.unhex(digest)), F.lit("=")), F.substring(digest, 1, 40))).alias("sample"), F.lit(True).alias("random"))
 
 
 def train(rows: DataFrame) -> list[list[float]]:
-    """Log-likelihood ratios of transitions between character classes, with add-one smoothing."""
+    """Log-likelihood ratios of transitions between character classes, each model smoothed by its own single-character shares."""
     codes = rows.where(F.length("sample") > 1).select("random", F.expr(_codes("sample")).alias("c"))
     pairs = codes.select("random", F.explode(F.expr("transform(sequence(1, size(c) - 1), i -> c[i - 1] * 128 + c[i])")).alias("p"))
     counts = pairs.groupBy("random", "p").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 * 67 * 67 rows
     n = len(ALPHABET) + 1
-    tables = {kind: [[1.0] * n for _ in range(n)] for kind in (True, False)}
+    tables = {kind: [[0.0] * n for _ in range(n)] for kind in (True, False)}
     for row in counts:
         tables[row["random"]][row["p"] // 128][row["p"] % 128] += row["n"]
     for t in tables.values():
+        single = [sum(line[b] for line in t) + SMOOTH for b in range(n)]
+        whole = sum(single)
         for line in t:
             total = sum(line)
-            line[:] = [math.log(x / total) for x in line]
+            line[:] = [math.log((x + PRIOR * s / whole) / (total + PRIOR)) for x, s in zip(line, single, strict=True)]
     return [[a - b for a, b in zip(x, y, strict=True)] for x, y in zip(tables[True], tables[False], strict=True)]
 
 

@@ -33,8 +33,7 @@ def test_base_spans(spark, sf):
 
 def test_model_finds_random_strings(spark):
     ordinary = ["informationprocessing", "long_identifier_name", "Donaudampfschifffahrt", "getElementById", "some-hyphenated-word-list"] * 20
-    random = [hashlib.sha256(str(i).encode()).digest().hex()[:40] for i in range(40)] + ["Zx81kQp02LmNvB7sQwEr", "q9T7vLx2Rb4KmZ0pWd8s"] * 20
-    rows = spark.createDataFrame([(s, False) for s in ordinary] + [(s, True) for s in random], "sample string, random boolean")
+    rows = spark.createDataFrame([(s, False) for s in ordinary], "sample string, random boolean").union(S.drawn(spark))
     docs = spark.createDataFrame([(1, "a K7q2Zr9Lx0Vb4Tn8Wp3s b"), (2, "version_information_2 is here"), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in S.scan(docs, rows=rows).select("doc_id", S.joined("spans").alias("s"), S.redacted("text", "spans").alias("r")).collect()}
     assert got[1]["s"] == "markov:2:22" and got[1]["r"] == "a <secret> b"
