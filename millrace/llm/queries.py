@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from .fingerprints import op1_imatch
 from .mixing import op6_curriculum
+from .near_dedup import op5_minhash
 from .packing import op9_concat_cut
 from .secret_scan import op10_markov
 from .sharding import op4_hypergeometric
 from .token_files import op3_token_files
 
-QUERIES = {f.__name__: f for f in (op1_imatch, op3_token_files, op4_hypergeometric, op6_curriculum, op9_concat_cut, op10_markov)}
+QUERIES = {f.__name__: f for f in (op1_imatch, op3_token_files, op4_hypergeometric, op5_minhash, op6_curriculum, op9_concat_cut, op10_markov)}
 ORACLE_SQL: dict[str, str] = {}
