@@ -139,6 +139,26 @@ def identify(docs: DataFrame, model: Filter, key: str = "doc_id", text: str = "t
     return rows.mapInArrow(predict, "key long, lang_pred string, score double, share double").withColumnRenamed("key", key)
 
 
+def accepted(docs: DataFrame, model: Filter, least_share: float, text: str = "text") -> DataFrame:
+    """The rows whose text is in a known language: not ``und``, and at least ``least_share`` of its n-grams the winner's.
+
+    Rows pass through unchanged. A model without languages rejects nothing but texts without letters.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def keep(batches):
+        m = shared.value
+        for b in batches:
+            known = []
+            for t in b.column(at).to_pylist():
+                lang, _, share = m.predict(t)
+                known.append(bool(t and LETTER.search(t)) if not m.languages else lang != UNKNOWN and share >= least_share)
+            yield b.filter(pa.array(known, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op7_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.where(~is_held_out(F.col("doc_id"))))

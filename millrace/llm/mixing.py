@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, table, written
+from .common import WORD, n_partitions, table, written
 
 REPEATS = 3
 WEIGHTS = (1, 2, 3)
@@ -64,11 +64,12 @@ def position(used: Column, slope: Column) -> Column:
     return F.when(used <= 0, 0.0).otherwise(2 * used / (b + root))
 
 
-def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, repeats: int = REPEATS, slopes=SLOPES, seed: int = SEED) -> DataFrame:
-    """key, source, size, source_size, target, taken, passes (array of pass, words, position), for every document."""
+def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, repeats: int = REPEATS, slopes=SLOPES, seed: int = SEED, carry: str | None = None) -> DataFrame:
+    """key, source, size, source_size, target, taken, passes (array of pass, words, position) and the carried column, for every document."""
+    more = [carry] if carry else []
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     order = F.xxhash64(F.lit(seed), F.col(key), F.monotonically_increasing_id())
-    rows = written(docs.select(F.col(key), F.col(source).alias("source"), size.alias("size"), order.alias("_k")), "mixing")
+    rows = written(docs.select(F.col(key), F.col(source).alias("source"), size.alias("size"), order.alias("_k"), *more), "mixing")
     shared = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
     plan = targets(shared.select("source", "source_size"), weights, repeats, slopes)
     # blocks of the random order, as many as the largest source needs
@@ -91,7 +92,7 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     )
     out = joined.withColumn("passes", passes)
     taken = F.aggregate("passes", F.lit(0).cast("long"), lambda s, x: s + x["words"])
-    return out.select(key, "source", "size", "source_size", "target", taken.alias("taken"), "passes")
+    return out.select(key, "source", "size", "source_size", "target", taken.alias("taken"), "passes", *more)
 
 
 def schedule(assigned: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -100,6 +101,28 @@ def schedule(assigned: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.orderBy("position", key, "pass")
 
 
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars", **options) -> DataFrame:
+    """The rows of the mix, one for each taken pass, range-sorted by training position.
+
+    ``docs`` carries its rows through the assignment, so each pass has its own row's columns.
+    A cut pass holds its text's first words, and their number of characters in ``n_chars``.
+    """
+    carried = docs.select(F.col(key), F.col("source"), F.col(text), F.struct(*docs.columns).alias("_row"))
+    rows = assign(carried, key, text, carry="_row", **options)
+    taken = rows.select(key, "size", "_row", F.explode("passes").alias("_p"))
+    whole = F.col("_p.words") == F.col("size")
+    # a cut text ends where the first word that is not taken begins; a blank start splits off as an empty part
+    white = r"[\x20\x09-\x0D]"
+    t = F.col(f"_row.`{text}`")
+    limit = F.col("_p.words").cast("int") + 1 + F.coalesce(t.rlike(f"^{white}").cast("int"), F.lit(0))
+    first_words = F.substring(t, F.lit(1), F.length(t) - F.length(F.element_at(F.split(t, f"{white}+", limit), -1)))
+    cut = F.when(whole, t).otherwise(first_words)
+    sorted_rows = taken.select("*", cut.alias("_cut")).repartitionByRange(n_partitions(docs.sparkSession), F.col("_p.position"), F.col(key), F.col("_p.pass"))
+    sorted_rows = sorted_rows.sortWithinPartitions(F.col("_p.position"), key, F.col("_p.pass"))
+    columns = {text: F.col("_cut"), n_chars: F.when(whole, F.col(f"_row.`{n_chars}`")).otherwise(F.length("_cut").cast("long"))}
+    return sorted_rows.select(*[columns.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+
+
 def op6_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = assign(table(spark, sf_dir, "documents"))
     first = F.get("passes", F.lit(0))["position"]
