@@ -124,8 +124,8 @@ _api("filter_non_nil", f"SELECT o_orderkey FROM {_NULLS} WHERE s IS NOT NULL AND
 _api("filter_bool_logic", f"SELECT o_orderkey, (p IS NOT NULL AND q IS NOT NULL AND p AND q) AS a, (p IS NOT NULL AND q IS NOT NULL AND (p OR q)) AS o, coalesce(NOT p, false) AS n FROM (SELECT o_orderkey, m > 2 AS p, k > 1 AS q FROM {_NULLS})")(
     lambda t: Frame(_nulls(t).df.select("o_orderkey", (F.col("m") > 2).alias("p"), (F.col("k") > 1).alias("q"))).select("o_orderkey", BoolExpr.col("p").and_(BoolExpr.col("q")).alias("a"), BoolExpr.col("p").or_(BoolExpr.col("q")).alias("o"), BoolExpr.col("p").not_().alias("n"))
 )
-_api("filter_datetime_cmp", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1994-01-01' AND o_orderdate < TIMESTAMP '1995-01-01'")(
-    lambda t: t("orders").where_row(DatetimeExpr.col("o_orderdate").between(F.lit("1994-01-01").cast("timestamp_ntz"), F.lit("1995-01-01").cast("timestamp_ntz"), "left")).select_by_name("o_orderkey")
+_api("filter_datetime_cmp", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01'")(
+    lambda t: t("orders").where_row(DatetimeExpr.col("o_orderdate").between(F.lit("1996-01-01").cast("timestamp_ntz"), F.lit("1997-01-01").cast("timestamp_ntz"), "left")).select_by_name("o_orderkey")
 )
 _api("filter_chain", "SELECT o_orderkey FROM orders WHERE o_orderkey % 10 IN (1, 2, 3) AND o_orderkey % 10 = 2")(
     lambda t: t("orders").add_series("d", F.col("o_orderkey") % 10).where_row(IntExpr.col("d").in_const(1, 2, 3).eq_const(2)).select_by_name("o_orderkey")
