@@ -42,6 +42,8 @@ SMALL_BUCKET = 16
 BLOCK = 1024
 #: Standard errors below the threshold at which a signature rules a pair out.
 MARGIN = 6.0
+#: Positions of the bit set of keys that spares a shuffle of texts; a prime, 4 MiB at any corpus size.
+KEY_BITS = 33_554_393
 
 
 class Shingler:
@@ -132,13 +134,30 @@ def band_keys(minima: np.ndarray, rows: int) -> np.ndarray:
     return out.view("int64")
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """key, h1, h2, set array<long> of the documents."""
+def key_bits(keys: DataFrame):
+    """A broadcast bit set (of fixed size) of the column ``key`` modulo KEY_BITS."""
+    at = F.pmod("key", F.lit(KEY_BITS))
+    packed = keys.select(F.floor(at / 64).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(key, {KEY_BITS}) % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    bits = np.zeros(-(-KEY_BITS // 64), dtype="int64")
+    got = packed.toArrow()  # at most KEY_BITS / 64 rows
+    bits[got["w"].to_numpy()] = got["b"].to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def may_hold(bits, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be in the set; never false for one that is."""
+    at = np.mod(keys, KEY_BITS)
+    return (bits.value[at // 64] >> (at % 64)) & 1 == 1
+
+
+def shingle_sets(docs: DataFrame, key: str, text: str, words: int, bits) -> DataFrame:
+    """key, h1, h2, set array<long> of the documents whose key may be in ``bits``; no text is shuffled."""
 
     def sets(batches):
         shingler = Shingler(words)
         for batch in batches:
-            for b in slices(batch, 1):
+            held = pa.array(may_hold(bits, batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)))
+            for b in slices(batch.filter(held), 1):
                 found = [shingler.shingles(t) for t in b.column(1).to_pylist()]
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in found]
                 halves = [pa.array([int.from_bytes(d[i : i + 8], "little", signed=True) for d in digests], pa.int64()) for i in (0, 8)]
@@ -162,10 +181,8 @@ def _verified(pairs: DataFrame, reps: DataFrame, sets_of, least: int, threshold:
     """u, v of the pairs that are links. Signatures first, then full sets of what is left."""
     sig = reps.select("rep", "sig")
     both = pairs.join(sig.select(F.col("rep").alias("u"), F.col("sig").alias("us")), "u").join(sig.select(F.col("rep").alias("v"), F.col("sig").alias("vs")), "v")
-    # equal bytes: of the two hexadecimal strings, pairs of digits that agree
     both = written(both.where(_equal_bytes("us", "vs") >= least).select("u", "v"), "pairs")
-    needed = both.select(F.col("u").alias("key")).union(both.select(F.col("v").alias("key"))).distinct()
-    sets = written(sets_of(needed), "sets")
+    sets = written(sets_of(both.select(F.col("u").alias("key")).union(both.select(F.col("v").alias("key"))).distinct()), "sets")
     full = both.join(sets.select(F.col("rep").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("rep").alias("v"), F.col("set").alias("b")), "v")
     i = F.size(F.array_intersect("a", "b")).cast("long")
     links = written(full.where(linked(i, F.size("a").cast("long"), F.size("b").cast("long"), threshold)).select("u", "v").distinct(), "links")
@@ -260,8 +277,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     shared = written(buckets.join(sizes, "b"), "buckets")
 
     def sets_of(keys: DataFrame) -> DataFrame:
-        found = shingle_sets(docs.withColumn("_key", F.col(key).cast("long")).join(keys.withColumnRenamed("key", "_key"), "_key", "left_semi"), "_key", text, words)
-        return found.join(classes, ["h1", "h2"]).where("key = rep").select("rep", "set").dropDuplicates(["rep"])
+        """rep, set of representatives; rows that repeat a key and its text give the set again."""
+        wanted = written(classes.join(keys.withColumnRenamed("key", "rep"), "rep", "left_semi"), "wanted")
+        found = shingle_sets(docs, key, text, words, key_bits(wanted.select(F.col("rep").alias("key"))))
+        return found.join(wanted, (found["key"] == wanted["rep"]) & (found["h1"] == wanted["h1"]) & (found["h2"] == wanted["h2"])).select("rep", "set")
 
     stars = shared.where("rep <> m").select(F.col("m").alias("u"), F.col("rep").alias("v")).distinct()
     links = _verified(stars, reps, sets_of, least, threshold)
@@ -288,9 +307,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents without all but one of each component."""
-    gone = near_duplicates(docs, key, text, **options).where("not kept").select(F.col(key).alias("_gone"))
-    return docs.join(gone.distinct(), docs[key] == F.col("_gone"), "left_anti")
+    """The documents without all but one of each component.
+
+    Rows whose key may be among those that go meet them in a join; the others pass without a shuffle.
+    """
+    gone = written(near_duplicates(docs, key, text, **options).where("not kept").select(F.col(key).alias("key")).distinct(), "gone")
+    bits = key_bits(gone)
+
+    @F.pandas_udf("boolean")
+    def suspect(keys: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(bits, keys.fillna(0).to_numpy(dtype="int64")))
+
+    marked = docs.withColumn("_suspect", suspect(F.col(key).cast("long")))
+    clear = marked.where("not _suspect").drop("_suspect")
+    rest = marked.where("_suspect").drop("_suspect")
+    return clear.unionByName(rest.join(gone.withColumnRenamed("key", "_gone"), F.col(key).cast("long") == F.col("_gone"), "left_anti"))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
