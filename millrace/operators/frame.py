@@ -381,7 +381,7 @@ class Series:
     def reduce(self, f: Callable[[Column, Column], Column], start: Any) -> Any:
         """Left fold in scan order with a Column function. Partitions fold their runs in order only if it is associative; see agg for the rest."""
         ordered = row_index(self.df.select(self.column), "_i")
-        return ordered.agg(F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("_i", self.column.alias("v")))), lambda x: x["v"]), F.lit(start), f)).first()[0]
+        return ordered.agg(F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("_i", self.column.alias("v")))), lambda x: x["v"]), start if isinstance(start, Column) else F.lit(start), f)).first()[0]
 
     def when_nil(self, value: Any) -> Series:
         return self._new(self.df.select(F.coalesce(self.column, F.lit(value)).alias(self.name)))

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from ..functions.exprs import BUILDERS, BoolExpr, DatetimeExpr, DoubleExpr, IntExpr, StringExpr
 from ..operators.frame import CROSS_JOIN, EQUI_JOIN, LEFT_JOIN, OUTER_JOIN, RIGHT_JOIN, Frame
 from ..session import configure
+from ..streaming.events import sessions, windowed
 from .engine import run_sql
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -351,3 +352,11 @@ _api("dt_format", "SELECT o_orderkey, strftime(o_orderdate, '%d %b %Y') AS v FRO
 _sql("dt_sql_functions", "SELECT o_orderkey, date(o_orderdate) AS d, datetime(o_orderdate, '+1 day') AS t, strftime('%Y/%m/%d %H', o_orderdate) AS f, date(o_orderdate, 'start of month', '+1 month', '-1 day') AS e FROM orders",
      "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS t, strftime(o_orderdate, '%Y/%m/%d %H') AS f, strftime(last_day(o_orderdate), '%Y-%m-%d') AS e FROM orders")
 _sql("dt_julianday", "SELECT event_id, ROUND(julianday(ts), 5) AS v, strftime('%j', ts) AS j FROM events", "SELECT event_id, ROUND(julian(ts) - 0.5, 5) AS v, strftime(ts, '%j') AS j FROM events")
+
+# ---------------------------------------------------------------- event-time windows (extension)
+_api("event_tumbling", "SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS start, event_type, CAST(COUNT(*) AS BIGINT) AS n, ROUND(SUM(value), 4) AS total FROM events GROUP BY ALL")(
+    lambda t: windowed(t("events").df, "ts", ["event_type"], "1 hour", value="value").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+)
+_api("event_sessions", "SELECT user_id, MIN(ts) AS start, MAX(ts) + INTERVAL 30 MINUTE AS end, CAST(COUNT(*) AS BIGINT) AS n FROM (SELECT *, SUM(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, s")(
+    lambda t: sessions(t("events").df, "ts", "user_id", "30 minutes").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+)

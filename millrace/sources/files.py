@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import uuid
 import zipfile
 
@@ -92,8 +93,18 @@ def read_json(spark: SparkSession, paths: list[str], location: Location, config)
 def read_xml(spark: SparkSession, paths: list[str], location: Location, config) -> DataFrame:
     """Rows are elements; attributes have ``_`` before their names; all columns are strings, in order of name."""
     tag = location.option("xml.elementName", config) or "element"
-    reader = spark.read.format("xml").options(rowTag=tag, inferSchema=False, attributePrefix="_", mode="FAILFAST", ignoreSurroundingSpaces=True)
-    df = reader.load(",".join(paths) if len(paths) == 1 else paths)
+    options = dict(rowTag=tag, inferSchema="false", attributePrefix="_", mode="FAILFAST", ignoreSurroundingSpaces="true")
+    if location.flag("xml.objectOnEachLine", config):
+        # elements that a line holds whole; what else lines hold is passed over
+        name = re.escape(tag)
+        element = rf"(?s)(<{name}(?:\s[^>]*)?/>|<{name}(?:\s[^>]*)?>.*?</{name}\s*>)"
+        found = spark.read.text(paths).select(F.explode(F.regexp_extract_all("value", F.lit(element))).alias("value"))
+        reader = spark._jsparkSession.read()
+        for k, v in options.items():
+            reader = reader.option(k, v)
+        df = DataFrame(reader.xml(_strings(found)), spark)
+    else:
+        df = spark.read.format("xml").options(**options).load(",".join(paths) if len(paths) == 1 else paths)
     flat = normalised(df)
     return flat.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in sorted(flat.columns)])
 
