@@ -56,7 +56,7 @@ class Expr:
         return self._step("map", f, fmt)
 
     def _filter(self, f: Callable) -> Expr:
-        return self._step("filter", lambda c, own: _false(f(c, own)))
+        return self._step("filter", f)
 
     @staticmethod
     def _arg(x: Any, own: Column | None) -> Column:
@@ -76,14 +76,18 @@ class Expr:
                 c = f(c, own)
         return c.alias(self._alias) if self._alias else c
 
-    def predicate(self, own: Column | None = None) -> Column | None:
-        """All filters of the chain, each on the value at its place; None without filters."""
+    def predicate(self, own: Column | None = None, rows: bool = False) -> Column | None:
+        """All filters of the chain, each on the value at its place; None without filters.
+
+        Two-valued, unless ``rows`` says that it only filters rows, where null is as good as false
+        and the bare comparisons reach the scan.
+        """
         c, out = self._start(own), None
         for kind, f in self._steps:
             if kind == "map":
                 c = f(c, own)
             elif kind == "filter":
-                p = f(c, own)
+                p = f(c, own) if rows else _false(f(c, own))
                 out = p if out is None else out & p
         return out
 

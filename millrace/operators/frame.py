@@ -101,7 +101,7 @@ class Frame:
         df, out = self.df, []
         for e in exprs:
             if isinstance(e, Expr):
-                p = e.predicate()
+                p = e.predicate(rows=True)
                 df = df if p is None else df.where(p)
                 c = e.value()
                 out.append(c if e._alias or not e._name else c.alias(e._name))
@@ -181,7 +181,7 @@ class Frame:
 
     def where_row(self, condition: Column | Expr | Callable[[dict], bool]) -> Frame:
         if isinstance(condition, Expr):
-            p = condition.predicate()
+            p = condition.predicate(rows=True)
             return self._new(self.df.where(condition.value() if p is None else p))
         if isinstance(condition, Column):
             return self._new(self.df.where(condition))
@@ -358,7 +358,7 @@ class Series:
         """Filters of the chain restrict, maps change the value; a reduction is for ``agg``."""
         if expr.kind() == "reduce":
             raise FrameError("a reduction needs agg()")
-        p = expr.predicate(self.column)
+        p = expr.predicate(self.column, rows=True)
         df = self.df if p is None else self.df.where(p)
         return self._new(df.select(expr.value(self.column).alias(self.name)))
 
