@@ -66,8 +66,9 @@ def _kept_terms(text: Column, lex: Column, bits: int) -> Column:
 def fingerprint_columns(df: DataFrame, text: Column, lex: DataFrame, name: str, bits: int = LEXICON_BITS, subsets=SUBSETS) -> DataFrame:
     """Add ``name`` array<long>: the fingerprint of ``text``; ``lex`` is lexicon()'s row, broadcast (fixed size)."""
     extra = [c for c in df.columns]
-    one = F.broadcast(lex.select(F.lit(0).alias("_k0"), F.col("lexicon").alias("_lex")))
-    keyed = df.withColumn("_t", text).withColumn("_k", F.pmod(F.xxhash64("_t"), F.lit(1)).cast("int"))
+    # an equi-join on a key that is always 0, though the optimiser cannot know it: each document meets the one row
+    one = F.broadcast(lex.select(F.pmod(F.size("lexicon"), F.lit(1)).alias("_k0"), F.col("lexicon").alias("_lex")))
+    keyed = df.withColumn("_t", text).withColumn("_k", F.pmod(F.length("_t"), F.lit(1)))
     kept = keyed.join(one, keyed["_k"] == one["_k0"], "left")
     kept = kept.select(*extra, "_t", _kept_terms(F.col("_t"), F.col("_lex"), bits).alias("_kept"))
     every = F.when(F.size("_kept") > 0, F.xxhash64("_kept")).otherwise(F.xxhash64(F.col("_t"), F.lit(1)))
