@@ -39,10 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: spark.checkpoint.dir, or a local one where that is unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="millrace-", dir=None)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    # core settings cannot change in a running session, so the local folder is kept with the context
+    sc = spark.sparkContext
+    if not hasattr(sc, "_millrace_dir"):
+        sc._millrace_dir = "file://" + tempfile.mkdtemp(prefix="millrace-")
+    return sc._millrace_dir
 
 
 def new_path(spark: SparkSession, name: str) -> str:
