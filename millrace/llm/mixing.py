@@ -68,7 +68,8 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     """key, source, size, source_size, target, taken, passes (array of pass, words, position) and the carried column, for every document."""
     more = [carry] if carry else []
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    order = F.xxhash64(F.lit(seed), F.col(key), F.monotonically_increasing_id())
+    # a function of the row alone, whatever the partitions; rows that tie are equal in key and text
+    order = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
     rows = written(docs.select(F.col(key), F.col(source).alias("source"), size.alias("size"), order.alias("_k"), *more), "mixing")
     shared = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
     plan = targets(shared.select("source", "source_size"), weights, repeats, slopes)

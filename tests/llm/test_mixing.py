@@ -53,6 +53,9 @@ def test_reruns_agree_and_blocks(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     a, b = (sorted(map(tuple, M.op6_curriculum(spark, sf).collect())) for _ in range(2))
     assert a == b
+    # the order and partitions of the input do not matter
+    c = M.assign(docs.repartition(7).orderBy(F.desc("n_chars"))).select("doc_id", "taken").collect()
+    assert sorted(map(tuple, c)) == sorted(map(tuple, M.assign(docs).select("doc_id", "taken").collect()))
     check(M.assign(docs).collect(), docs.collect())
 
 
