@@ -33,6 +33,8 @@ WEIGHTS = (1, 2, 3)
 SLOPES = (-0.5, 0.0, 0.5)
 SEED = 11
 BLOCK_ROWS = 20_000
+#: Sums of blocks are broadcast up to so many rows (a few MB), else joined by a shuffle.
+BROADCAST_ROWS = 50_000
 
 
 def _cycle(values, place: Column) -> Column:
@@ -70,17 +72,23 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     # a function of the row alone, whatever the partitions; rows that tie are equal in key and text
     order = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
-    rows = written(docs.select(F.col(key), F.col(source).alias("source"), size.alias("size"), order.alias("_k"), *more), "mixing")
-    shared = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
+    columns = [F.col(key), F.col(source).alias("source"), size.alias("size"), order.alias("_k")]
+    narrow = written(docs.select(*columns), "mixing")
+    shared = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
     plan = targets(shared.select("source", "source_size"), weights, repeats, slopes)
     # blocks of the random order, as many as the largest source needs
     largest = shared.agg(F.max("_n")).first()[0] or 0
     bits = max(2, math.ceil(math.log2(max(1, largest / BLOCK_ROWS))))
-    rows = rows.withColumn("_b", F.shiftrightunsigned("_k", 64 - bits))
-    blocks = rows.groupBy("source", "_b").agg(F.sum("size").alias("_sum"))
+    block = F.shiftrightunsigned("_k", 64 - bits)
+    # what is carried is shuffled once, with its row, and not written
+    rows = (docs.select(*columns, *more) if carry else narrow).withColumn("_b", block)
+    blocks = narrow.withColumn("_b", block).groupBy("source", "_b").agg(F.sum("size").alias("_sum"))
     blocks = blocks.withColumn("_before", F.sum("_sum").over(W.partitionBy("source").orderBy("_b")) - F.col("_sum"))
     p = plan.withColumnRenamed("source", "_s")
     blocks = blocks.join(p, blocks["source"].eqNullSafe(p["_s"])).select(F.col("source").alias("_s"), F.col("_b").alias("_bb"), "_before", "source_size", "slope", "target")
+    blocks = written(blocks, "blocks")
+    if blocks.count() <= BROADCAST_ROWS:
+        blocks = F.broadcast(blocks)
     within = W.partitionBy("source", "_b").orderBy(F.shiftleft("_k", bits), key, "size")
     at = rows.withColumn("_at", F.sum("size").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     joined = at.join(blocks, at["source"].eqNullSafe(blocks["_s"]) & (at["_b"] == blocks["_bb"]))
