@@ -273,7 +273,7 @@ _sql("cte", "WITH big AS (SELECT o_custkey AS k, SUM(o_totalprice) AS total FROM
 _sql("recursive_cte", "WITH RECURSIVE c(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM c WHERE n < 50) SELECT n, n * n AS sq FROM c")
 _sql("case_when", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band, CASE o_orderstatus WHEN 'F' THEN 1 ELSE 0 END AS f FROM orders")
 _sql("values_rows", "VALUES (1, 'a'), (2, 'b')", "SELECT * FROM (VALUES (1, 'a'), (2, 'b')) v(col1, col2)")
-_sql("pragma_table_info", "pragma table_info(\"nation\")", "SELECT * FROM (VALUES (0, 'n_nationkey', 'integer', 0, NULL, 0), (1, 'n_name', 'text', 0, NULL, 0), (2, 'n_regionkey', 'integer', 0, NULL, 0)) v(cid, name, type, \"notnull\", dflt_value, pk)")
+_sql("pragma_table_info", "pragma table_info(\"nation\")", "SELECT * FROM (VALUES (0, 'n_nationkey', 'integer', 0, CAST(NULL AS VARCHAR), 0), (1, 'n_name', 'text', 0, NULL, 0), (2, 'n_regionkey', 'integer', 0, NULL, 0)) v(cid, name, type, \"notnull\", dflt_value, pk)")
 
 # ---------------------------------------------------------------- strings
 _str = lambda e: lambda t: t("part").select(F.col("p_partkey"), e(StringExpr.col("p_name")).alias("s"))
