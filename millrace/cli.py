@@ -35,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
     add("output.xml.objectOnEachLine", "true", _truth, "a row on each line")
     add("output", "-", text="where the result goes")
     add("logger", "error", text="debug, info, warning or error")
-    add("engine.storage", "pq", text="accepted; all storages behave alike")
+    add("engine.storage", "memory", text="accepted; all storages behave alike")
     add("engine.compat", "", text="sqlite: LIKE ignores case")
     p.add_argument("query", nargs="?")
     p.add_argument("urls", nargs="*")

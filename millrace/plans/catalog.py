@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.exprs import BUILDERS, BoolExpr, DatetimeExpr, DoubleExpr, IntExpr, StringExpr
+from ..functions.exprs import BoolExpr, DatetimeExpr, DoubleExpr, IntExpr, StringExpr
 from ..operators.frame import CROSS_JOIN, EQUI_JOIN, LEFT_JOIN, OUTER_JOIN, RIGHT_JOIN, Frame
 from ..session import configure
 from ..streaming.events import sessions, windowed
