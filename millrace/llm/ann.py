@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, table, written
+from .common import table, written
 
 TREES, BITS, SEED, K = 16, 64, 23, 20
 #: A task compares at most about as many rows with as many queries.
