@@ -57,3 +57,25 @@ def test_odd_vectors(spark):
     got = results(A.nearest(df, F.col("vec_id") % 20 == 0))
     assert got == {0: [(7, 2.0), (8, 2.0), (20, 0.0), (9, -1.0)], 20: [(7, 3.0), (8, 3.0), (9, 1.5), (0, 0.0)]}
     assert A.nearest(df.where("vec_id < 0"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_candidates_hold_recall_at_100000_unequal_norms():
+    """The stop rule alone, on the module's strings: a neighbour is found where it shares a query's level in any tree."""
+    rng, n, m = np.random.default_rng(8), 100_000, 60
+    x = rng.normal(size=(n, 64))
+    x *= (rng.lognormal(0, 0.5, size=n) / np.linalg.norm(x, axis=1))[:, None]
+    s = x[:m] @ x.T
+    s[np.arange(m), np.arange(m)] = -np.inf
+    best = np.argpartition(-s, 20, axis=1)[:, :20]
+    norm = np.linalg.norm(x, axis=1).max()
+    own = np.column_stack([x / norm, np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1) / norm**2))])
+    asked = np.column_stack([x[:m] / np.linalg.norm(x[:m], axis=1)[:, None], np.zeros(m)])
+    held, shared = np.zeros((m, A.BITS + 1), dtype="int64"), np.zeros((m, 20, A.BITS + 1), dtype=bool)
+    for tree in range(A.TREES):
+        code, q = A.codes(own, tree), A.codes(asked, tree)
+        for level in range(A.BITS + 1):
+            p, rows = A._prefix(q, level), np.sort(A._prefix(code, level))
+            held[:, level] += np.searchsorted(rows, p, "right") - np.searchsorted(rows, p, "left")
+            shared[:, :, level] |= A._prefix(code[best], level) == p[:, None]
+    level = [max(np.flatnonzero(h >= A.candidates(n)), default=0) for h in held]
+    assert np.mean([shared[i, :, j].mean() for i, j in enumerate(level)]) >= 0.9
