@@ -128,6 +128,14 @@ def _levels(index: DataFrame, bits: int, want: int) -> DataFrame:
     return total.groupBy("id", "dim").agg(F.coalesce(F.max(F.when(F.col("n") >= want, F.col("level"))), F.lit(0)).cast("int").alias("level"))
 
 
+def _rankable(ids: np.ndarray, code: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Places of rows, sorted by code, that can be among a query's best k: of equal vectors the k + 1 smallest ids, as one may be the query's."""
+    if len(code) <= k + 1 or not (code[k + 1 :] == code[: -k - 1]).any():
+        return np.arange(len(code))
+    rows = pd.DataFrame({"same": np.unique(x, axis=0, return_inverse=True)[1].ravel(), "id": ids}).drop_duplicates()
+    return rows.index[rows.groupby("same").id.rank("first") <= k + 1].to_numpy()
+
+
 def nearest(rows: DataFrame, queries, key: str = "vec_id", vector: str = "embedding", k: int = K, want: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows nearest to each row for which ``queries`` (a condition) holds."""
     valid = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"), F.coalesce(queries, F.lit(False)).alias("query")).where(_valid("x") & F.col("id").isNotNull())
@@ -156,6 +164,11 @@ def nearest(rows: DataFrame, queries, key: str = "vec_id", vector: str = "embedd
             ids = rows_.id.to_numpy()
             x, y = np.stack(rows_.x.to_list()), np.stack(asked_.x.to_list())
             level = np.maximum(asked_.level.to_numpy().astype("int64"), bits)
+            few = _rankable(ids, code, x, k)
+            ids, code, x = ids[few], code[few], x[few]
+            repeats = len(np.unique(ids)) < len(ids)
+            # a block's product and the sum in order differ by less than half of this
+            slack = 4 * x.shape[1] * np.finfo("float64").eps * np.linalg.norm(y, axis=1) * np.linalg.norm(x, axis=1).max()
             for a in range(0, len(asked_), 256):
                 s = y[a : a + 256] @ x.T
                 for r in range(len(s)):
@@ -164,34 +177,25 @@ def nearest(rows: DataFrame, queries, key: str = "vec_id", vector: str = "embedd
                     own = _prefix(code, level[i])
                     lo, hi = int(np.searchsorted(own, p, "left")[0]), int(np.searchsorted(own, p, "right")[0])
                     mine = asked_.id.iat[i]
-                    keep = ids[lo:hi] != mine
-                    c, v = ids[lo:hi][keep], s[r, lo:hi][keep]
-                    if len(c) > k:
-                        # exactly the best k, ties at the end to the smaller ids
-                        edge = np.partition(v, len(v) - k)[len(v) - k]
-                        near = v >= edge - 1e-9 * max(1.0, abs(edge))
-                        c, v = c[near], v[near]
-                    out["query_id"].append(np.full(len(c), mine))
-                    out["vec_id"].append(c)
-                    out["score"].append(v)
+                    at = lo + np.flatnonzero(ids[lo:hi] != mine)
+                    if len(at) > k and not repeats:
+                        v = s[r, at]
+                        at = at[v >= np.partition(v, len(v) - k)[len(v) - k] - slack[i]]
+                    # ties exactly: the same sum in order wherever a pair meets
+                    v = np.cumsum(x[at] * y[i], axis=1)[:, -1] + 0.0
+                    best = np.lexsort((ids[at], -v))
+                    if repeats:
+                        best = best[np.sort(np.unique(ids[at][best], return_index=True)[1])]
+                    best = best[:k]
+                    out["query_id"].append(np.full(len(best), mine))
+                    out["vec_id"].append(ids[at][best])
+                    out["score"].append(v[best])
         return pd.DataFrame({n: np.concatenate(v) if v else [] for n, v in out.items()})
 
     found = _meetings(index, bits, asked).groupBy("dim", "tree", "block", "i", "j").applyInPandas(score, "query_id long, vec_id long, score double")
-    # products by blocks may differ in the last place: one score a pair before ranking
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = best.withColumn("rank", rank).where(F.col("rank") <= k + 5)
-    return _exact(written(best.select("query_id", "vec_id"), "near"), valid, k)
-
-
-def _exact(pairs: DataFrame, valid: DataFrame, k: int) -> DataFrame:
-    """Rank pairs by their inner products, summed in order on the original vectors."""
-    v = valid.select("id", "x", "dim")
-    both = pairs.join(v.select(F.col("id").alias("query_id"), F.col("x").alias("a"), F.col("dim").alias("da")), "query_id").join(v.select(F.col("id").alias("vec_id"), F.col("x").alias("b"), F.col("dim").alias("db")), "vec_id").where("da = db")
-    dot = F.aggregate(F.zip_with("a", "b", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    scored = both.select("query_id", "vec_id", dot.alias("score")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

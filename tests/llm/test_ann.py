@@ -79,3 +79,25 @@ def test_candidates_hold_recall_at_100000_unequal_norms():
             shared[:, :, level] |= A._prefix(code[best], level) == p[:, None]
     level = [max(np.flatnonzero(h >= A.candidates(n)), default=0) for h in held]
     assert np.mean([shared[i, :, j].mean() for i, j in enumerate(level)]) >= 0.9
+
+
+def test_equal_vectors_in_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(A, "PART_ROWS", 333)
+    monkeypatch.setattr(A, "PART_QUERIES", 7)
+    x = np.random.default_rng(5).normal(size=64).tolist()
+    df = spark.createDataFrame([(i, x) for i in range(2000)], "vec_id long, embedding array<double>")
+    got = results(A.nearest(df, F.col("vec_id") % 20 == 0))
+    assert len(got) == 100
+    for q, best in got.items():
+        assert [v for v, _ in best] == [i for i in range(21) if i != q][:20]
+        assert len({s for _, s in best}) == 1
+
+
+def test_ties_of_unlike_vectors_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(A, "PART_ROWS", 40)
+    rng = np.random.default_rng(6)
+    rows = [(0, [2.0, 0.0, 0.0])] + [(i, [1.0, *map(float, rng.normal(size=2))]) for i in range(1, 201)]
+    rows += [(7, [1.5, 0.0, float(j)]) for j in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = results(A.nearest(df, F.col("vec_id") == 0, want=10**6))
+    assert got[0] == [(7, 3.0)] + [(i, 2.0) for i in range(1, 21) if i != 7]
