@@ -8,15 +8,16 @@ Messages (conversation, turn, role, text) give calls and results:
   ``<conversation>:<turn>``, which waits for the call of the same kind two turns before, and any
   other ``assistant`` message is the result of the call one turn before it.
 
-Calls and results are joined by id (a hash or sort-merge join on pre-aggregated sides: of rows
-that repeat an id the smallest is used, and both counts are kept). Calls are put in topological
-order by the call each waits for: ``depth`` is the number of calls before it in its chain, by
+Calls and results are joined by conversation and id. Identical calls and identical results are
+one row each, with their counts; different ones that repeat an id in a conversation are all
+returned, the n-th call in order of turns with the n-th result. Calls are put in topological
+order by the call each waits for (of repeats the n-th, or the last where there are fewer): ``depth`` is the number of calls before it in its chain, by
 pointer doubling, so a chain of d calls takes log2(d) rounds. Arguments are validated against
 the function's JSON schema, and call and result are serialised as canonical JSON (sorted keys,
 no spaces, shortest numbers, UTF-8).
 
 Status: ``linked``, ``no_result``, ``no_call``. Edge cases: null text is the empty text, a null
-conversation or turn gives a null id and the row is returned unlinked; a call that waits for an
+conversation or turn gives a null id, and rows without a conversation or id are returned unlinked; a call that waits for an
 absent call has depth 0; calls on a cycle have a null depth; unparsable calls are invalid with
 the text as name; an empty table gives no rows.
 """
@@ -30,6 +31,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import discard, table, written
 
@@ -149,15 +151,23 @@ def depths(calls: DataFrame) -> DataFrame:
 
 
 def link(parts: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
-    """id, conv_id, turn, name, status, depth, n_calls, n_results, valid, error, json of every id of calls or results."""
+    """id, conv_id, turn, name, status, depth, n_calls, n_results, valid, error, json of every distinct call with its result, and of results without a call."""
     parts = written(parts, "parts")
-    named = parts.where("id is not null")
-    calls = named.where("kind = 'call'").groupBy("id").agg(F.min(F.struct("conv_id", "turn", "name", "arguments", "after")).alias("c"), F.count(F.lit(1)).alias("n_calls"))
-    calls = written(calls.select("id", "c.*", "n_calls"), "calls")
-    results = named.where("kind = 'result'").groupBy("id").agg(F.min(F.struct("turn", "content", "conv_id")).alias("r"), F.count(F.lit(1)).alias("n_results"))
-    both = calls.join(depths(calls), "id").join(results, "id", "full")
-    rows = both.select("id", F.coalesce("conv_id", "r.conv_id").alias("conv_id"), F.coalesce("turn", "r.turn").alias("turn"), "name", "arguments", F.col("r.content").alias("content"), "depth", F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"))
-    lone = parts.where("id is null").select("id", "conv_id", "turn", "name", "arguments", "content", F.lit(None).cast("long").alias("depth"), (F.col("kind") == "call").cast("long").alias("n_calls"), (F.col("kind") == "result").cast("long").alias("n_results"))
+    named, key = parts.where("id is not null and conv_id is not null"), ["conv_id", "id", "nth"]
+
+    def distinct(kind, count, *columns):
+        nth = F.row_number().over(W.partitionBy("conv_id", "id").orderBy(*columns))
+        return named.where(F.col("kind") == kind).groupBy("conv_id", "id", *columns).agg(F.count(F.lit(1)).alias(count)).withColumn("nth", nth)
+
+    calls = written(distinct("call", "n_calls", "turn", "name", "arguments", "after"), "calls")
+    results = distinct("result", "n_results", "turn", "content").withColumnRenamed("turn", "answered")
+    # chains run over texts that name a call: conversation, place among repeats, id
+    most = calls.groupBy("conv_id", F.col("id").alias("after")).agg(F.max("nth").alias("most"))
+    node = lambda nth, i: F.concat_ws(":", "conv_id", nth, i)
+    chain = calls.join(most, ["conv_id", "after"], "left").select(node("nth", "id").alias("id"), F.when(F.col("most").isNotNull(), node(F.least("nth", "most"), "after")).alias("after"))
+    both = calls.withColumn("node", node("nth", "id")).join(depths(chain).withColumnRenamed("id", "node"), "node").join(results, key, "full")
+    rows = both.select("id", "conv_id", F.coalesce("turn", "answered").alias("turn"), "name", "arguments", "content", "depth", F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"))
+    lone = parts.where("id is null or conv_id is null").select("id", "conv_id", "turn", "name", "arguments", "content", F.lit(None).cast("long").alias("depth"), (F.col("kind") == "call").cast("long").alias("n_calls"), (F.col("kind") == "result").cast("long").alias("n_results"))
     known = dict(SCHEMAS if schemas is None else schemas)
 
     def finish(batches):

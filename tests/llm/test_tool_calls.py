@@ -58,3 +58,19 @@ def test_odd_rows(spark):
     rows = C.link(C.extract(got)).collect()
     assert sorted((str(r["conv_id"]), r["status"], r["valid"]) for r in rows) == [("1", "no_call", None), ("2", "no_result", False), ("3", "no_call", None), ("4", "no_result", False), ("None", "no_result", True)]
     assert C.link(C.extract(got.where("conv_id > 9"))).count() == 0
+
+
+def test_ids_repeat_across_and_within_conversations(spark):
+    answer = lambda c: json.dumps({"call_id": "call_1", "content": c})
+    rows = [m for c in range(30) for m in ((c, 0, "assistant", call("call_1", {"x": c})), (c, 1, "tool", answer(c)))]
+    rows += [(0, 2, "assistant", call("call_1", {"x": 100})), (0, 3, "tool", answer(100)), (1, 2, "tool", answer("more")), (2, 2, "assistant", call("next", {"x": 1}, "call_1"))]
+    rows += [(50, 0, "user", "a"), (50, 0, "user", "b"), (50, 1, "assistant", "c"), (50, 1, "assistant", "d"), (None, 0, "assistant", call("call_1", {"x": 7}))]
+    df = spark.createDataFrame(rows + rows[:2], "conv_id long, turn long, role string, text string")
+    got = C.link(C.extract(df), schemas=SCHEMA | C.SCHEMAS).collect()
+    ones = [(r["conv_id"], json.loads(r["json"])) for r in got if r["id"] == "call_1" and r["status"] == "linked"]
+    assert sorted((c, j["arguments"]["x"], j["result"]) for c, j in ones) == sorted([(c, c, c) for c in range(30)] + [(0, 100, 100)])
+    assert [(r["conv_id"], json.loads(r["json"])["result"]) for r in got if r["status"] == "no_call"] == [(1, "more")]
+    assert [(r["conv_id"], r["n_calls"]) for r in got if r["status"] == "no_result"] in ([(2, 1), (None, 1)], [(None, 1), (2, 1)])
+    assert [r["depth"] for r in got if r["id"] == "next"] == [1]
+    assert sorted((json.loads(r["json"])["arguments"]["text"], json.loads(r["json"])["result"]) for r in got if r["conv_id"] == 50) == [("a", "c"), ("b", "d")]
+    assert [r["n_calls"] for r in got if r["conv_id"] == 0 and r["turn"] == 0] == [2]
