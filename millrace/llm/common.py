@@ -1,51 +1,60 @@
-"""Shared helpers: table access, tables in the shared folder, and the white-space word rule."""
+"""Shared helpers: table access, tables in the shared folder, lean Python workers, and the white-space word rule."""
 
 from __future__ import annotations
 
-import os
-import tempfile
+import ctypes
 import uuid
-import zipfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import shared_dir, ship
+
 #: A word is a run of anything but space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of one Arrow batch that goes to a Python worker (a longer row is alone).
+BATCH_BYTES = 4 << 20
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a session, so that workers can import it wherever they start."""
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the executors, and (once a session) bound the batches Python workers get in bytes as well as rows."""
+    ship(spark)
     sc = spark.sparkContext
-    if getattr(sc, "_millrace_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="millrace-"), "millrace.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.join(os.path.basename(top), os.path.relpath(full, top)))
-    sc.addPyFile(path)
-    sc._millrace_shipped = True
+    if not getattr(sc, "_millrace_batches", False):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        sc._millrace_batches = True
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def release() -> None:
+    """Give memory that is free back to the system (a no-op where the C library cannot)."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    # core settings cannot change in a running session, so the local folder is kept with the context
-    sc = spark.sparkContext
-    if not hasattr(sc, "_millrace_dir"):
-        sc._millrace_dir = "file://" + tempfile.mkdtemp(prefix="millrace-")
-    return sc._millrace_dir
+def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``function`` of Arrow batches for a worker that lives on after its task: what the task used is given back.
+
+    Arrow's own allocator keeps the most it ever held, so batches come from the system's instead.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return run
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -62,19 +71,30 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by written() that no later plan reads."""
-    path = getattr(df, "_millrace_path", None)
-    if path:
-        spark = df.sparkSession
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by written() that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_millrace_path", None)
+        if path:
+            spark = df.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """For each name, one that no column of ``df`` has (Spark's names ignore case): extra columns may be called anything."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def text_of(df: DataFrame, col: str = "text") -> Column:
     """The text column with null as empty."""
-    return F.coalesce(df[col], F.lit(""))
+    return F.coalesce(df[f"`{col}`"], F.lit(""))
 
 
 def n_partitions(spark: SparkSession) -> int:
