@@ -1,7 +1,7 @@
 """Near-duplicate documents: MinHash bands, verified links, connected components.
 
 A document is the set of its distinct word shingles (ASCII lower case, white-space words).
-Documents with equal sets form one class; only class representatives go on.
+Documents with equal sets form one class; classes are the vertices.
 
 1. Each set gets ``BANDS * ROWS`` minima of multiply-shift hashes; each band of ``ROWS`` minima
    is a bucket key. Two sets of Jaccard similarity 0.8 share no bucket with a probability of
@@ -16,8 +16,11 @@ Documents with equal sets form one class; only class representatives go on.
    the links that join components, not the pairs. No pair within one component is compared.
 
 Edge cases: null, empty or blank text has no shingles and links with nothing; a text with
-fewer words than a shingle is one shingle; rows that share a key are one vertex; null keys
-have a null component and are not kept or dropped by others; an empty table gives no rows.
+fewer words than a shingle is one shingle; rows that repeat a key with other texts are documents
+of their own (a component has the smallest key of any of its rows); a null key has a null
+component, joins no class and is neither kept nor dropped by ``deduplicated``'s rule but stays;
+equal rows are one document; long texts are read whole; an empty table gives no rows; columns
+may have any names.
 """
 
 from __future__ import annotations
@@ -25,13 +28,14 @@ from __future__ import annotations
 import random
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import discard, table, text_of, written
+from .common import discard, lean, own_names, release, table, text_of, written
 from .encoder import slices
 
 WORDS, THRESHOLD = 2, 80
@@ -42,14 +46,16 @@ SMALL_BUCKET = 16
 BLOCK = 1024
 #: Standard errors below the threshold at which a signature rules a pair out.
 MARGIN = 6.0
-#: Positions of the bit set of keys that spares a shuffle of texts; a prime, 4 MiB at any corpus size.
-KEY_BITS = 33_554_393
+#: Positions of the bit set of keys that spares a shuffle of texts: sixteen a key, between these (128 KiB and 32 MiB).
+KEY_BITS = (1 << 20, 1 << 28)
+#: Rows of one class (or component) that one task of a join takes; at most 1,000 classes hold more.
+SAME = 10_000
 
 
 class Shingler:
-    """Sorted distinct 64-bit shingle hashes of texts, with a bounded cache of word hashes."""
+    """Sorted distinct 64-bit shingle hashes of texts, with a bounded cache of the hashes of short words."""
 
-    CACHE = 500_000
+    CACHE, SHORT = 100_000, 24
 
     def __init__(self, words: int):
         self.words, self.seen = words, {}
@@ -64,7 +70,7 @@ class Shingler:
             for i, h in enumerate(found):
                 if h is None:
                     h = found[i] = xxhash.xxh64_intdigest(words[i])
-                    if room:
+                    if room and len(words[i]) <= self.SHORT:
                         seen[words[i]] = h
         return np.array(found, dtype="uint64")
 
@@ -81,6 +87,12 @@ class Shingler:
                 out ^= out >> np.uint64(29)
         return np.unique(out)
 
+    def sets(self, texts: pa.Array) -> tuple[list[np.ndarray], list[pa.Array]]:
+        """The sets of some texts, and the halves of their 128-bit hashes."""
+        found = [self.shingles(t) for t in texts.to_pylist()]
+        digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in found]
+        return found, [pa.array([int.from_bytes(d[i : i + 8], "little", signed=True) for d in digests], pa.int64()) for i in (0, 8)]
+
 
 class Minima:
     """Minima of universal (multiply-shift) hashes of a set of 64-bit values."""
@@ -107,20 +119,14 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
         shingler, minima = Shingler(words), Minima(bands * rows)
         for batch in batches:
             for b in slices(batch, 1):
-                n, h1, h2, keys, sigs = [], [], [], [], []
-                for t in b.column(1).to_pylist():
-                    s = shingler.shingles(t)
-                    digest = xxhash.xxh3_128_digest(s.tobytes())
-                    m = minima.of(s)
-                    n.append(len(s))
-                    h1.append(int.from_bytes(digest[:8], "little", signed=True))
-                    h2.append(int.from_bytes(digest[8:], "little", signed=True))
-                    keys.append(m)
-                    sigs.append((m >> np.uint32(24)).astype("uint8").tobytes())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array([band_keys(m, rows) for m in keys], pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["key", "n", "h1", "h2", "bands", "sig"])
+                sets, halves = shingler.sets(b.column(1))
+                found = [minima.of(s) for s in sets]
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype="int32") * bands), pa.array(np.concatenate([band_keys(m, rows) for m in found])))
+                sigs = pa.array([(m >> np.uint32(24)).astype("uint8").tobytes() for m in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), *halves, keys, sigs], ["key", "n", "h1", "h2", "bands", "sig"])
 
     plain = docs.select(F.col(key).cast("long").alias("key"), text_of(docs, text).alias("text"))
-    return written(plain.mapInArrow(sketch, "key long, n long, h1 long, h2 long, bands array<long>, sig binary"), "sketches")
+    return written(plain.mapInArrow(lean(sketch), "key long, n long, h1 long, h2 long, bands array<long>, sig binary"), "sketches")
 
 
 def band_keys(minima: np.ndarray, rows: int) -> np.ndarray:
@@ -134,37 +140,36 @@ def band_keys(minima: np.ndarray, rows: int) -> np.ndarray:
     return out.view("int64")
 
 
-def key_bits(keys: DataFrame):
-    """A broadcast bit set (of fixed size) of the column ``key`` modulo KEY_BITS."""
-    at = F.pmod("key", F.lit(KEY_BITS))
-    packed = keys.select(F.floor(at / 64).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(key, {KEY_BITS}) % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    bits = np.zeros(-(-KEY_BITS // 64), dtype="int64")
-    got = packed.toArrow()  # at most KEY_BITS / 64 rows
+def key_bits(keys: DataFrame, n: int):
+    """A broadcast bit set, of bounded size, of the column ``key`` of about ``n`` rows."""
+    size = min(KEY_BITS[1], max(KEY_BITS[0], 1 << (16 * n).bit_length()))
+    at = F.pmod(F.xxhash64("key"), F.lit(size))
+    packed = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("b"))
+    bits = np.zeros(size // 64, dtype="int64")
+    got = packed.toArrow()  # at most size / 64 rows
     bits[got["w"].to_numpy()] = got["b"].to_numpy()
     return keys.sparkSession.sparkContext.broadcast(bits)
 
 
-def may_hold(bits, keys: np.ndarray) -> np.ndarray:
-    """Whether each key may be in the set; never false for one that is."""
-    at = np.mod(keys, KEY_BITS)
-    return (bits.value[at // 64] >> (at % 64)) & 1 == 1
+def may_hold(bits, hashes: np.ndarray) -> np.ndarray:
+    """Whether each key, by its xxhash64, may be in the set; never false for one that is."""
+    at = np.mod(hashes, 64 * len(bits.value))
+    return (bits.value[at >> 6] >> (at & 63)) & 1 == 1
 
 
 def shingle_sets(docs: DataFrame, key: str, text: str, words: int, bits) -> DataFrame:
-    """key, h1, h2, set array<long> of the documents whose key may be in ``bits``; no text is shuffled."""
+    """h1, h2, set array<long> of the documents whose key may be in ``bits``; no text is shuffled."""
 
     def sets(batches):
         shingler = Shingler(words)
         for batch in batches:
-            held = pa.array(may_hold(bits, batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)))
+            held = pa.array(may_hold(bits, batch.column(0).to_numpy()))
             for b in slices(batch.filter(held), 1):
-                found = [shingler.shingles(t) for t in b.column(1).to_pylist()]
-                digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in found]
-                halves = [pa.array([int.from_bytes(d[i : i + 8], "little", signed=True) for d in digests], pa.int64()) for i in (0, 8)]
-                yield pa.RecordBatch.from_arrays([b.column(0), *halves, pa.array([s.view("int64") for s in found], pa.list_(pa.int64()))], ["key", "h1", "h2", "set"])
+                found, halves = shingler.sets(b.column(1))
+                yield pa.RecordBatch.from_arrays([*halves, pa.array([s.view("int64") for s in found], pa.list_(pa.int64()))], ["h1", "h2", "set"])
 
-    plain = docs.select(F.col(key).cast("long").alias("key"), text_of(docs, text).alias("text"))
-    return plain.mapInArrow(sets, "key long, h1 long, h2 long, set array<long>")
+    plain = docs.select(F.xxhash64(F.col(key).cast("long")).alias("hash"), text_of(docs, text).alias("text"))
+    return plain.mapInArrow(lean(sets), "h1 long, h2 long, set array<long>")
 
 
 def _agreeing(bands: int, rows: int, threshold: int) -> int:
@@ -177,24 +182,28 @@ def linked(i: Column, a: Column, b: Column, threshold: int) -> Column:
     return 100 * i >= threshold * (a + b - i)
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, sets_of, least: int, threshold: int) -> DataFrame:
-    """u, v of the pairs that are links. Signatures first, then full sets of what is left."""
-    sig = reps.select("rep", "sig")
-    both = pairs.join(sig.select(F.col("rep").alias("u"), F.col("sig").alias("us")), "u").join(sig.select(F.col("rep").alias("v"), F.col("sig").alias("vs")), "v")
+def _verified(pairs: DataFrame, classes: DataFrame, sets_of, least: int, threshold: int) -> DataFrame:
+    """u, v of the pairs that are links; written. Signatures first, then full sets of what is left."""
+    sig = classes.select("cid", "sig")
+    both = pairs.join(sig.select(F.col("cid").alias("u"), F.col("sig").alias("us")), "u").join(sig.select(F.col("cid").alias("v"), F.col("sig").alias("vs")), "v")
     both = written(both.where(_equal_bytes("us", "vs") >= least).select("u", "v"), "pairs")
-    sets = written(sets_of(both.select(F.col("u").alias("key")).union(both.select(F.col("v").alias("key"))).distinct()), "sets")
-    full = both.join(sets.select(F.col("rep").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("rep").alias("v"), F.col("set").alias("b")), "v")
+    sets = sets_of(both.select(F.col("u").alias("cid")).union(both.select(F.col("v").alias("cid"))).distinct())
+    full = both.join(sets.select(F.col("cid").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("cid").alias("v"), F.col("set").alias("b")), "v")
     i = F.size(F.array_intersect("a", "b")).cast("long")
     links = written(full.where(linked(i, F.size("a").cast("long"), F.size("b").cast("long"), threshold)).select("u", "v").distinct(), "links")
-    discard(both)
-    discard(sets)
+    discard(both, sets)
     return links
 
 
 def _equal_bytes(a: str, b: str) -> Column:
-    @F.pandas_udf("int")
-    def count(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([int(np.count_nonzero(np.frombuffer(p, "u1") == np.frombuffer(q, "u1"))) for p, q in zip(x, y, strict=True)], dtype="int32")
+    """How many bytes of two signatures of one length are equal."""
+
+    @F.arrow_udf("int")
+    def count(a: pa.Array, b: pa.Array) -> pa.Array:
+        if not len(a):
+            return pa.array([], pa.int32())
+        x, y = (np.frombuffer(b"".join(s.to_pylist()), "u1").reshape(len(s), -1) for s in (a, b))
+        return pa.array((x == y).sum(axis=1, dtype="int32"))
 
     return count(F.col(a), F.col(b))
 
@@ -215,30 +224,37 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
         discard(large)
         edges = small
         if edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first() == before:
-            return edges.select(F.col("u").alias("key"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("key"), F.col("v").alias("component")).distinct())
+            out = edges.select(F.col("u").alias("key"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("key"), F.col("v").alias("component")).distinct())
+            out._millrace_path = edges._millrace_path
+            return out
     raise RuntimeError("components did not settle")
 
 
 def _open_pairs(opened: DataFrame) -> DataFrame:
     """Pairs of different components in small open buckets."""
-    a = opened.select("b", F.col("rep").alias("u"), F.col("component").alias("cu"))
-    z = opened.select("b", F.col("rep").alias("v"), F.col("component").alias("cv"))
+    a = opened.select("b", F.col("cid").alias("u"), F.col("component").alias("cu"))
+    z = opened.select("b", F.col("cid").alias("v"), F.col("component").alias("cv"))
     return a.join(z, "b").where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv"))).select("u", "v").distinct()
 
 
 def _open_blocks(opened: DataFrame, least: int, threshold: int) -> DataFrame:
-    """Links between components in larger open buckets. opened: b, rep, component, c (bucket size), sig, set."""
+    """Links between components in larger open buckets. opened: b, cid, component, c (bucket size), sig, set."""
     g = F.ceil(F.col("c") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), g).cast("int")
+    own = F.pmod(F.xxhash64("cid"), g).cast("int")
     # every pair of blocks meets in one task
     spread = opened.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), g - 1)))
     spread = spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "c")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf[pdf.own == pdf.i.iloc[0]]
-        second = first if pdf.i.iloc[0] == pdf.j.iloc[0] else pdf[pdf.own == pdf.j.iloc[0]]
+    def side(t: pa.Table):
+        sets, sig = t["set"].combine_chunks(), np.frombuffer(b"".join(t["sig"].to_pylist()), "u1").reshape(t.num_rows, -1)
+        ends, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+        return t["cid"].to_pylist(), t["component"].to_numpy(), sig, [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def compare(t: pa.Table) -> pa.Table:
+        first = t.filter(pa.compute.equal(t["own"], t["i"]))
+        second = t.filter(pa.compute.equal(t["own"], t["j"]))
         out = []
-        if len(first) and len(second):
+        if first.num_rows and second.num_rows:
             parent: dict[int, int] = {}
 
             def root(x):
@@ -246,82 +262,133 @@ def _open_blocks(opened: DataFrame, least: int, threshold: int) -> DataFrame:
                     parent[x] = x = parent[parent[x]]
                 return x
 
-            cols = [{c: f[c].tolist() for c in ("rep", "component")} | {"sig": np.stack([np.frombuffer(s, "u1") for s in f.sig]), "set": [np.asarray(s) for s in f.set]} for f in (first, second)]
-            a, z = cols
-            comp = np.array(z["component"])
-            for k in range(len(a["rep"])):
-                agree = (z["sig"] == a["sig"][k]).sum(axis=1)
-                hopeful = np.flatnonzero((agree >= least) & (comp != a["component"][k]))
+            (ids, own, sigs, sets), (others, comp, more, rest) = side(first), side(second)
+            for k in range(len(ids)):
+                agree = (more == sigs[k]).sum(axis=1)
+                hopeful = np.flatnonzero((agree >= least) & (comp != own[k]))
                 for m in hopeful[np.argsort(-agree[hopeful], kind="stable")].tolist():
-                    if root(a["component"][k]) == root(z["component"][m]):
+                    a, z = root(int(own[k])), root(int(comp[m]))
+                    if a == z:
                         continue
-                    x, y = a["set"][k], z["set"][m]
+                    x, y = sets[k], rest[m]
                     i = len(np.intersect1d(x, y, assume_unique=True))
                     if 100 * i >= threshold * (len(x) + len(y) - i):
-                        parent[root(a["component"][k])] = root(z["component"][m])
-                        out.append((a["rep"][k], z["rep"][m]))
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+                        parent[a] = z
+                        out.append((ids[k], others[m]))
+        release()
+        return pa.table([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
-    return spread.groupBy("b", "i", "j").applyInPandas(compare, "u long, v long")
+    return spread.groupBy("b", "i", "j").applyInArrow(compare, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """key, n_shingles, component_id, kept for every row of ``docs``."""
+def _spread_join(left: DataFrame, right: DataFrame, on: list[str], spread: Column, total: int) -> DataFrame:
+    """``left`` left-joined with ``right`` (one row a key, with ``c``, the key's rows): what many rows share meets them in several tasks."""
+    limit = max(SAME, total // 1000)
+    hot = F.broadcast(right.where(F.col("c") > limit).select(*on, F.ceil(F.col("c") / limit).cast("int").alias("g")))  # below 1,000 rows
+    g = F.coalesce("g", F.lit(1))
+    a = left.join(hot, on, "left").withColumn("s", F.pmod(F.xxhash64(spread), g).cast("int")).drop("g")
+    b = right.join(hot, on, "left").withColumn("s", F.explode(F.sequence(F.lit(0), g - 1))).drop("g", "c")
+    return a.join(b, [*on, "s"], "left").drop("s")
+
+
+def labelled(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """key, n, h1, h2, component_id, first (of its component's classes, the one that is kept) of every row of ``docs``."""
     sk = sketches(docs, key, text, words, bands, rows)
     least = _agreeing(bands, rows, threshold)
     some = sk.where((F.col("n") > 0) & F.col("key").isNotNull())
-    classes = written(some.groupBy("h1", "h2").agg(F.min("key").alias("rep")), "classes")
-    reps = written(some.join(classes, ["h1", "h2"]).where("key = rep").select("rep", "bands", "sig").dropDuplicates(["rep"]), "reps")
-    buckets = reps.select("rep", F.explode("bands").alias("b"))
-    sizes = buckets.groupBy("b").agg(F.min("rep").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    # equal sets have equal bands and signatures; ids are fixed once written
+    classes = some.groupBy("h1", "h2").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("c"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    buckets = classes.select("cid", F.explode("bands").alias("b"))
+    sizes = buckets.groupBy("b").agg(F.min("cid").alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = written(buckets.join(sizes, "b"), "buckets")
 
-    def sets_of(keys: DataFrame) -> DataFrame:
-        """rep, set of representatives; rows that repeat a key and its text give the set again."""
-        wanted = written(classes.join(keys.withColumnRenamed("key", "rep"), "rep", "left_semi"), "wanted")
-        found = shingle_sets(docs, key, text, words, key_bits(wanted.select(F.col("rep").alias("key"))))
-        return found.join(wanted, (found["key"] == wanted["rep"]) & (found["h1"] == wanted["h1"]) & (found["h2"] == wanted["h2"])).select("rep", "set")
-
-    stars = shared.where("rep <> m").select(F.col("m").alias("u"), F.col("rep").alias("v")).distinct()
-    links = _verified(stars, reps, sets_of, least, threshold)
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """cid, set; written."""
+        wanted = written(classes.select("cid", "rep", "h1", "h2").join(ids, "cid", "left_semi"), "wanted")
+        found = shingle_sets(docs, key, text, words, key_bits(wanted.select(F.col("rep").alias("key")), wanted.count()))
+        # copies of a wanted text that share its key's position give the set again
+        out = written(found.join(wanted, ["h1", "h2"]).groupBy("cid").agg(F.first("set").alias("set")), "sets")
+        discard(wanted)
+        return out
+
+    stars = shared.where("cid <> m").select(F.col("m").alias("u"), F.col("cid").alias("v")).distinct()
+    links = _verified(stars, classes, sets_of, least, threshold)
     found = components(links)
 
-    named = shared.join(found.withColumnRenamed("key", "rep"), "rep", "left").select("b", "rep", "c", F.coalesce("component", "rep").alias("component"))
-    named = written(named, "named")
+    named = written(shared.join(found.withColumnRenamed("key", "cid"), "cid", "left").select("b", "cid", "c", F.coalesce("component", "cid").alias("component")), "named")
     still = named.groupBy("b").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("b")
     opened = written(named.join(still, "b", "left_semi"), "open")
-    discard(named)
     pairs = _open_pairs(opened.where(F.col("c") <= SMALL_BUCKET)).join(stars, ["u", "v"], "left_anti")
-    more = _verified(pairs, reps, sets_of, least, threshold)
+    used = [named, shared, opened, links, found, _verified(pairs, classes, sets_of, least, threshold)]
+    more = used[-1]
     large = opened.where(F.col("c") > SMALL_BUCKET)
     if large.limit(1).count():
-        large_sets = written(sets_of(large.select(F.col("rep").alias("key")).distinct()), "sets")
-        full = large.join(reps.select("rep", "sig"), "rep").join(large_sets, "rep")
-        more = more.union(written(_open_blocks(full, least, threshold), "links"))
+        sets = sets_of(large.select("cid").distinct())
+        full = large.join(classes.select("cid", "sig"), "cid").join(sets, "cid")
+        blocks = written(_open_blocks(full, least, threshold), "links")
+        used += [sets, blocks]
+        more = more.union(blocks)
     if more.limit(1).count():
         found = components(links.union(more))
-    vertices = classes.join(found.withColumnRenamed("key", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    out = sk.join(vertices, ["h1", "h2"], "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key"))
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("key")).alias("kept"))
+        used.append(found)
+    # a component's label is the smallest key of its classes, of those that have it the one with the smallest hash
+    member = classes.select("cid", "rep", "h1", "h2", "c").join(found.withColumnRenamed("key", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    member = written(member, "members")
+    label = member.groupBy("component").agg(F.min(F.struct("rep", "h1", "h2")).alias("l"), F.count(F.lit(1)).alias("c"))
+    label = label.select("component", F.col("l.rep").alias("component_id"), F.struct("l.h1", "l.h2").alias("top"), "c")
+    total = member.count()
+    vertices = _spread_join(member.withColumnRenamed("c", "size"), label, ["component"], F.col("cid"), total)
+    vertices = written(vertices.select("h1", "h2", F.col("size").alias("c"), "component_id", (F.col("top") == F.struct("h1", "h2")).alias("first")), "vertices")
+    slim = written(sk.select("key", "n", "h1", "h2"), "rows")
+    discard(sk, classes, member, *used)
+    out = _spread_join(slim, vertices, ["h1", "h2"], F.col("key"), slim.count())
+    own = F.when((F.col("n") > 0) & F.col("key").isNotNull(), F.col("component_id")).otherwise(F.col("key"))
+    return out.select("key", "n", "h1", "h2", own.alias("component_id"), F.coalesce("first", F.lit(False)).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """key, n_shingles, component_id, kept for every row of ``docs``."""
+    out = labelled(docs, key, text, **options)
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", (F.col("component_id") == F.col("key")).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents without all but one of each component.
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, **options) -> DataFrame:
+    """One row of each component (its smallest key, of equal rows one); rows without words and those without a key stay.
 
-    Rows whose key may be among those that go meet them in a join; the others pass without a shuffle.
+    Rows whose key may be among those that go, or that repeat, are shingled again and meet the
+    list by key and set; the others pass without a shuffle.
     """
-    gone = written(near_duplicates(docs, key, text, **options).where("not kept").select(F.col(key).alias("key")).distinct(), "gone")
-    bits = key_bits(gone)
-
-    @F.pandas_udf("boolean")
-    def suspect(keys: pd.Series) -> pd.Series:
-        return pd.Series(may_hold(bits, keys.fillna(0).to_numpy(dtype="int64")))
-
-    marked = docs.withColumn("_suspect", suspect(F.col(key).cast("long")))
-    clear = marked.where("not _suspect").drop("_suspect")
-    rest = marked.where("_suspect").drop("_suspect")
-    return clear.unionByName(rest.join(gone.withColumnRenamed("key", "_gone"), F.col(key).cast("long") == F.col("_gone"), "left_anti"))
+    rows = labelled(docs, key, text, words, **options).where((F.col("n") > 0) & F.col("key").isNotNull())
+    stays = F.col("first") & (F.col("key") == F.col("component_id"))
+    marks = rows.groupBy("key", "h1", "h2").agg(F.bool_or(stays).alias("stays"), F.count(F.lit(1)).alias("c"))
+    marks = written(marks.where("not stays or c > 1"), "marks")
+    gone = marks.where("not stays")
+    bits = key_bits(marks.select("key"), marks.count())
+    at, suspect, n, h1, h2 = docs.columns.index(text), *own_names(docs, "suspect", "n", "h1", "h2")
+
+    @F.arrow_udf("boolean")
+    def held(hashes: pa.Array) -> pa.Array:
+        return pa.array(may_hold(bits, hashes.to_numpy()))
+
+    def hashed(batches):
+        shingler = Shingler(words)
+        for batch in batches:
+            for b in slices(batch, at):
+                sets, halves = shingler.sets(b.column(at).fill_null(""))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(s) for s in sets], pa.int64()), *halves], [*b.schema.names, n, h1, h2])
+
+    whole = F.col(f"`{key}`").cast("long")
+    marked = docs.withColumn(suspect, held(F.xxhash64(whole)) & whole.isNotNull())
+    clear = marked.where(~F.col(suspect)).drop(suspect)
+    kind = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in (n, h1, h2))])
+    again = marked.where(F.col(suspect)).drop(suspect).mapInArrow(lean(hashed), kind)
+    plain = [F.col(f"`{c}`") for c in docs.columns]
+    blank = again.where(F.col(n) == 0).select(*plain)
+    once = again.where(F.col(n) > 0).dropDuplicates([key, h1, h2])
+    g = gone.select(F.col("key").alias("gone_key"), F.col("h1").alias("gone_h1"), F.col("h2").alias("gone_h2"))
+    left = once.alias("d").join(g.alias("g"), (F.col(f"d.`{key}`").cast("long") == F.col("g.gone_key")) & (F.col(f"d.`{h1}`") == F.col("g.gone_h1")) & (F.col(f"d.`{h2}`") == F.col("g.gone_h2")), "left_anti")
+    return clear.unionByName(blank).unionByName(left.select(*plain))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

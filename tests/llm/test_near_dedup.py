@@ -80,7 +80,30 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert by[0]["n_shingles"] == by[1]["n_shingles"] == by[2]["n_shingles"] == 0 and by[1]["kept"]
     assert by[3]["n_shingles"] == 1 and by[7]["component_id"] == 6 and not by[7]["kept"]
     assert N.near_duplicates(no_docs).count() == 0
-    assert set(N.deduplicated(odd_docs).columns) == set(odd_docs.columns)
+    kept = N.deduplicated(odd_docs)
+    assert kept.columns == odd_docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 8]
+
+
+def test_repeated_and_null_keys_and_names(spark):
+    """Rows that repeat a key with other texts are documents of their own; equal rows are one; columns may have any names."""
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:-1], "x"])
+    rows = [(7, "one two three"), (7, "one two three"), (7, " ".join(base)), (3, near), (9, "one two three"), (None, near), (5, ""), (5, None), (4, "q " * 100_000 + "z")]
+    df = spark.createDataFrame([(*r, "a", "b", "c") for r in rows], "doc_id long, text string, h1 string, suspect string, n string").repartition(3)
+    found = {(r["key"], r["n"], r["component_id"], r["first"]) for r in N.labelled(df).collect()}
+    assert found == {(7, 2, 7, True), (9, 2, 7, True), (7, 59, 3, False), (3, 59, 3, True), (None, 59, None, True), (5, 0, 5, False), (4, 2, 4, True)}
+    kept = N.deduplicated(df).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted([(7, rows[0][1]), (3, near), (0, near), (5, ""), (5, ""), (4, rows[8][1])])
+    assert all((r["h1"], r["suspect"], r["n"]) == ("a", "b", "c") for r in kept)
+
+
+def test_hot_classes_and_components(spark, monkeypatch):
+    """Joins that spread what many rows share give the same rows."""
+    docs = [(i, "the same words in all of these") for i in range(40)] + [(100 + i, f"a b c d e f g h i j k {i}") for i in range(30)] + [(200 + i, f"alone {i} {i}") for i in range(9)]
+    want = brute(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(N, "SAME", 3)
+    assert got(N.near_duplicates(df)) == want
 
 
 def test_components(spark):
