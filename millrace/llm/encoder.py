@@ -12,6 +12,7 @@ import os
 import re
 import zlib
 from collections import ChainMap
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,9 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
 class Encoder:
     """Encodes texts to uint16 ids, without special tokens, an end id appended to each."""
 
-    #: Distinct chunks and pieces kept in a worker. Frequent ones come early, so a full cache takes no more.
-    CACHE = 300_000
+    #: Distinct chunks and pieces kept in a worker, of at most SHORT characters (about 200 bytes each, so 80 MB in all).
+    #: Frequent ones come early, so a full cache takes no more.
+    CACHE, SHORT = 200_000, 64
     #: Chunks of Latin letters, digits and punctuation but '<' (which could start an added token): NFC, one-to-one in lower case.
     LATIN = re.compile(r"[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]{1,64}")
     #: The vocabulary's pre-tokenizer rule, on those.
@@ -85,10 +87,8 @@ class Encoder:
         for i in range(0, len(new), 2000):
             fresh.update(zip(new[i : i + 2000], self._encode_pieces(new[i : i + 2000]), strict=True))
         if len(known) < self.CACHE:
-            known.update(fresh)
-            fresh = known
-        else:
-            fresh = ChainMap(fresh, known)
+            known.update(islice(((p, ids) for p, ids in fresh.items() if len(p) <= self.SHORT), self.CACHE - len(known)))
+        fresh = ChainMap(known, fresh)
         plain = [chunk for chunk, parts in zip(missing, split, strict=True) if parts is None]
         others = iter([ids for i in range(0, len(plain), 500) for ids in self._plain(plain[i : i + 500])])
         return [next(others) if parts is None else fresh[parts[0]] if len(parts) == 1 else b"".join([fresh[p] for p in parts]) for parts in split]
@@ -105,7 +105,7 @@ class Encoder:
             for i, ids in zip(missing, learnt, strict=True):
                 found[i] = ids
             if len(self.chunks) < self.CACHE:
-                self.chunks.update((distinct[i], found[i]) for i in missing if len(distinct[i]) <= 64)
+                self.chunks.update(islice(((distinct[i], found[i]) for i in missing if len(distinct[i]) <= self.SHORT), self.CACHE - len(self.chunks)))
         # 32 bits suffice: a slice's texts hold a few MB, and a single text below 2 GB
         size = np.fromiter(map(len, found), dtype="int32", count=len(found)) // 2
         at = np.cumsum(size, dtype="int32") - size
@@ -124,8 +124,8 @@ class Encoder:
 
 
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 8 << 20):
-    """Cut a batch so that a slice's texts hold about ``most_bytes`` (a longer text is alone)."""
-    sizes = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    """Cut a batch so that a slice's texts (null: empty) hold about ``most_bytes`` (a longer text is alone)."""
+    sizes = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype="int64")
     i = 0
     while i < batch.num_rows:
         j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + most_bytes, "right")))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import table, text_of, written
+from .common import lean, table, text_of, written
 from .encoder import Encoder, binaries, crc32_u32, slices, vocabulary_path
 
 LENGTH = 2048
@@ -41,7 +41,7 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary
                 at = int(ends[-1])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), text_of(docs, text).alias("text"))
-    return written(rows.mapInArrow(encode, "part int, at long, key long, n_tokens long, ids binary"), "packing")
+    return written(rows.mapInArrow(lean(encode), "part int, at long, key long, n_tokens long, ids binary"), "packing")
 
 
 def offsets(first: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return placed.mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
+    return placed.mapInArrow(lean(cut), PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def sequences(docs: DataFrame, length: int = LENGTH, pad_id: int = 0, **options) -> DataFrame:

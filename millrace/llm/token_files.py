@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import n_partitions, new_path, table, text_of
+from .common import lean, n_partitions, new_path, table, text_of
 from .encoder import Encoder, slices, vocabulary_path
 
 SCHEMA = "part int, key long, at long, n_tokens long, ids array<int>"
@@ -58,7 +58,7 @@ def write_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     rows = docs.select(F.col(key).cast("long").alias("key"), text_of(docs, text).alias("text"))
     n = n_partitions(docs.sparkSession)
     ordered = rows.repartitionByRange(n, "key").sortWithinPartitions("key", "text")
-    ordered.mapInArrow(encode, SCHEMA).write.options(**(layout or LAYOUT)).parquet(path)
+    ordered.mapInArrow(lean(encode), SCHEMA).write.options(**(layout or LAYOUT)).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -80,7 +80,7 @@ def digests(tokens: DataFrame) -> DataFrame:
             sums = [zlib.crc32(flat[i:j].tobytes()) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return tokens.mapInArrow(lean(crc), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
