@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import langid, mixing, near_dedup, packing, secret_scan
-from millrace.llm.common import ship, written
+from millrace.llm.common import discard, prepare, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text of which the best language explains less than this share of n-grams is not in any known language.
@@ -19,14 +19,14 @@ LEAST_SHARE = 0.3
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents in no known language: without letters, or with few n-grams of any."""
-    ship(spark)
+    prepare(spark)
     model = langid.fit(docs.where(~langid.is_held_out(F.col("doc_id"))))
     return langid.accepted(docs.select(*COLUMNS), model, LEAST_SHARE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates: five words, similarity of 0.8 or more."""
-    ship(spark)
+    prepare(spark)
     return near_dedup.deduplicated(docs.select(*COLUMNS), words=5, threshold=80)
 
 
@@ -48,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in fixed windows."""
-    ship(spark)
+    prepare(spark)
     return packing.pieces(docs)
 
 
@@ -67,5 +67,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return docs
