@@ -1,5 +1,9 @@
 import json
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
 from millrace.llm import tool_calls as C
 
 SCHEMA = {"f": {"type": "object", "properties": {"x": {"type": "number", "minimum": 0}, "tags": {"type": "array", "items": {"enum": ["a", "b"]}}}, "required": ["x"], "additionalProperties": False}}
@@ -72,5 +76,51 @@ def test_ids_repeat_across_and_within_conversations(spark):
     assert [(r["conv_id"], json.loads(r["json"])["result"]) for r in got if r["status"] == "no_call"] == [(1, "more")]
     assert [(r["conv_id"], r["n_calls"]) for r in got if r["status"] == "no_result"] in ([(2, 1), (None, 1)], [(None, 1), (2, 1)])
     assert [r["depth"] for r in got if r["id"] == "next"] == [1]
-    assert sorted((json.loads(r["json"])["arguments"]["text"], json.loads(r["json"])["result"]) for r in got if r["conv_id"] == 50) == [("a", "c"), ("b", "d")]
+    fifty = [json.loads(r["json"]) for r in got if r["conv_id"] == 50]
+    assert sorted(j["arguments"]["text"] for j in fifty) == ["a", "b"] and sorted(j["result"] for j in fifty) == ["c", "d"]
     assert [r["n_calls"] for r in got if r["conv_id"] == 0 and r["turn"] == 0] == [2]
+
+
+def test_messages_that_cannot_be_read(spark):
+    """Each is a row with a reason; none ends the job."""
+    wrap = lambda x: f"<tool_call>{x}</tool_call>"
+    big, deep = "9" * 400, "[" * 100_000
+    cases = {
+        0: (wrap('{"id":"i","name":"f","arguments":{"x":%s}}' % big), True, None), 1: (wrap('{"id":"i","name":"f","arguments":{"x":%s}}' % ("9" * 5000)), False, "$: not JSON"),
+        2: (wrap('{"id":"\\ud800","name":"f","arguments":{"x":1}}'), True, None), 3: (wrap('{"id":"i","name":"\\udfff","arguments":{}}'), False, "unknown function"),
+        4: (wrap('{"id":"i","name":"f","arguments":' + deep + "]" * 100_000 + "}"), False, "$: nested too deeply"), 5: (wrap('{"id":"i","name":"f","arguments":{"x":NaN}}'), False, "$: not JSON"),
+        6: (wrap('{"id":{"a":1},"name":"f","arguments":{"x":1}}'), False, "$.id: type"), 7: (wrap('{"id":7,"name":"f","arguments":{"x":1}}'), True, None), 8: (wrap("[1]"), False, "$: no object"),
+        9: (wrap('{"id":"i","name":3,"arguments":{"x":1}}'), False, "$.name: type"), 10: (wrap('{"id":"i","name":"f","arguments":{"x":1e400}}'), None, None), 11: (wrap('{"id":"i","name":"f","arguments":{"x":-0.0,"x":2}}'), True, None),
+        12: (wrap(""), False, "$: not JSON"), 13: (wrap('{"id":"i","name":"f","arguments":{"x":1},"after":[1]}'), False, "$.after: type"), 14: (wrap('{"id":"i","name":"f","arguments":{"x":1,"\\ud800":1}}'), False, None),
+    }
+    results = [(100 + i, 0, "tool", t) for i, t in enumerate(['{"call_id":"\\ud800","content":"\\udc00"}', '{"call_id":[1],"content":1}', "[" * 100_000, '{"call_id":1e999,"content":Infinity}', "[]", "null", '{"call_id":true}', "\ud7ff" + "x" * 1_000_000])]
+    df = spark.createDataFrame([(i, 0, "assistant", c[0]) for i, c in cases.items()] + results, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in C.link(C.extract(df.withColumn("c", F.lit(1)).withColumn("nth", F.lit("x"))), schemas=SCHEMA).collect()}
+    assert set(got) == {*cases, *range(100, 108)}
+    for i, (_, valid, error) in cases.items():
+        if valid is not None:
+            assert got[i]["valid"] == valid and (error is None or got[i]["error"] == error), i
+        json.loads(got[i]["json"])
+    assert got[0]["json"] == '{"arguments":{"x":%s},"id":"i","name":"f"}' % big and got[2]["id"] == "\\ud800" and got[7]["id"] == "7"
+    assert all(got[i]["status"] == "no_call" for i in range(100, 108)) and [got[i]["id"] for i in (100, 101, 103)] == ["\\ud800", None, None]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet='{}[]":,.-+eEtrufalsn0123456789 \\\ud800xidnameargumentscall_', max_size=80), st.sampled_from(["user", "assistant", "tool", None]))
+def test_any_text_gives_rows_arrow_can_hold(inner, role):
+    for text in (inner, f"<tool_call>{inner}</tool_call>", '<tool_call>{"id":' + inner + ',"name":"f"}</tool_call>'):
+        for row in C._parts(1, 2, role, text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")):
+            assert len(row) == 9 and all(isinstance(x, (str, int, type(None))) for x in row)
+            [x.encode() for x in row if isinstance(x, str)]
+
+
+def test_canonical_is_stable():
+    values = st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(), lambda c: st.lists(c) | st.dictionaries(st.text(), c), max_leaves=20)
+
+    @settings(max_examples=200, deadline=None)
+    @given(values)
+    def check(v):
+        once = C.canonical(v)
+        assert C.canonical(json.loads(once)) == once
+
+    check()
