@@ -1,19 +1,25 @@
 """Secret scans: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
-Candidates of the models are runs of 16 or more of ``[A-Za-z0-9+/_=-]`` (with at least one digit
-and one letter) outside the pattern matches. One first-order model is trained on random
-strings, one on ordinary identifiers; a candidate is a secret where the first model's
-log-likelihood exceeds the second's by ``threshold`` nats for each transition.
+Candidates of the models are runs of 16 or more of ``[A-Za-z0-9+/_=-]`` in the text without its
+pattern matches, so what is left of a run beside a match is a candidate of its own. One
+first-order model is trained on random strings, one on ordinary identifiers; a candidate is a
+secret where the first model's log-likelihood exceeds the second's by ``threshold`` nats for
+each transition.
 
 Training rows are (sample, random). By default, values of pattern matches anywhere in the corpus
-and ``DRAWN`` strings drawn from digests (base64 and hexadecimal) are labelled random, words of
-12 or more letters, ``_`` and ``-`` anywhere in the corpus are labelled ordinary. Only transition counts between character
-classes (one for each of the 66 characters and one for all others) leave the rows: at most
-2 * 67 * 67 sums at any corpus size, which are what the driver gets.
+and ``DRAWN`` strings drawn from digests (base64 and hexadecimal) are labelled random; words of
+12 or more letters, ``_`` and ``-`` anywhere in the corpus outside pattern matches, as they are
+and in capitals, and
+``DRAWN`` each of dates, numbered names, paths and rules, are labelled ordinary. Only transition
+counts between character classes (one for each of the 66 characters and one for all others)
+leave the rows: at most 2 * 67 * 67 sums at any corpus size, which are what the driver gets.
 
 Positions are code points, ends exclusive. Edge cases: null text is the empty text; a text
 without matches has counts of 0 and the hash of the empty string; with no training rows of
-one kind that model is uniform, and with none of both nothing is added.
+one kind that model is uniform, and with none of both nothing is added; spans that start at one
+place are ordered by kind; repeated rows get equal results; long texts and long candidates are
+read whole, candidates in overlapping pieces; an empty table gives no rows; the two added columns
+are named by parameters, and a column that has such a name is an error.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import own_names, table, text_of
 
 #: Pattern, the group whose length counts, and the least length. Order is the order of kinds.
 PATTERNS = {
@@ -36,9 +42,12 @@ HINTS = {"assign": r"[dDtTnNyY][\"']?\x20*[:=]", "access": "AKIA", "hex": r"[0-9
 CANDIDATE = r"([A-Za-z0-9+/_=-]{16,})"
 ORDINARY = r"([A-Za-z_-]{12,})"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
-THRESHOLD = 0.4
-#: Drawn strings of either kind among the default training rows.
+#: Nats a transition. Of strings held out, ordinary ones scored below 1.2, random ones above 2.1 (0.5 % below 2.2).
+THRESHOLD = 1.5
+#: Drawn strings of each form among the default training rows.
 DRAWN = 2000
+#: Transitions that are counted or added up at a time.
+PIECE = 4096
 #: Weight of single-character shares in a transition's estimate, and what each character's count starts from.
 PRIOR, SMOOTH = 10.0, 1.0
 KINDS = (*PATTERNS, "markov")
@@ -66,29 +75,56 @@ def base_spans(df: DataFrame, text: str = "text", out: str = "base") -> DataFram
     return df.withColumn(out, F.expr(f"array_sort(concat({', '.join(parts)}))"))
 
 
-def _codes(word: str) -> str:
-    """SQL for a word's character classes: the place in ALPHABET from 1, or 0."""
-    return f"transform(sequence(1, length({word})), i -> instr({_sql(ALPHABET)}, substring({word}, i, 1)))"
+def _pieces(word: str) -> str:
+    """SQL for a word in pieces that share one character with the next, so that each transition is in one."""
+    return f"regexp_extract_all({word}, '(?s)(?=(.{{1,{PIECE + 1}}})).{{1,{PIECE}}}', 1)"
+
+
+def _codes(piece: str) -> str:
+    """SQL for a piece's character classes: the place in ALPHABET from 1, or 0."""
+    return f"transform(split({piece}, ''), c -> instr({_sql(ALPHABET)}, c))"
+
+
+def without(text: str) -> str:
+    """SQL for the text with every pattern match blanked, each character by a blank, so that places stay."""
+    for pattern, group, least in PATTERNS.values():
+        p, all_of = _sql(pattern), lambda g, t=text, p=_sql(pattern): f"regexp_extract_all({t}, {p}, {g})"
+        pairs = f"zip_with({all_of(1)}, {all_of(group)}, (m, v) -> if(length(v) >= {least}, repeat(' ', length(m)), m))"
+        text = f"array_join(zip_with(split({text}, {p}, -1), {pairs}, (a, m) -> concat(a, coalesce(m, ''))), '')"
+    return text
 
 
 def samples(df: DataFrame, text: str = "text", base: str = "base") -> DataFrame:
     """Labelled training rows (sample, random) of a table that base_spans() has been through."""
-    random = df.where(F.size(base) > 0).select(F.explode(F.expr(f"transform({base}, x -> substring(`{text}`, x.start + 1, x.end - x.start))")).alias("s"))
+    value = F.expr(f"transform({base}, x -> named_struct('k', x.k, 's', substring(`{text}`, x.start + 1, x.end - x.start)))")
+    random = df.where(F.size(base) > 0).select(F.explode(value).alias("x")).select(F.col("x.k").alias("k"), F.col("x.s").alias("s"))
     # of an assignment, the value only
-    random = random.select(F.regexp_extract("s", r"([A-Za-z0-9+/_.=-]+)$", 1).alias("sample"), F.lit(True).alias("random"))
-    plain = df.where(F.col(text).rlike(ORDINARY)).select(F.explode(F.regexp_extract_all(text, F.lit(ORDINARY))).alias("sample"), F.lit(False).alias("random"))
+    pattern, group, _ = PATTERNS["assign"]
+    random = random.select(F.when(F.col("k") == 0, F.regexp_extract("s", pattern, group)).otherwise(F.col("s")).alias("sample"), F.lit(True).alias("random"))
+    hidden = F.when(F.size(base) > 0, F.expr(without(f"`{text}`"))).otherwise(F.col(f"`{text}`"))
+    plain = df.where(F.col(f"`{text}`").rlike(ORDINARY)).select(F.explode(F.regexp_extract_all(hidden, F.lit(ORDINARY))).alias("w"))
+    plain = plain.select(F.explode(F.array("w", F.upper("w"))).alias("sample"), F.lit(False).alias("random"))
     return random.unionByName(plain).unionByName(drawn(df.sparkSession))
 
 
 def drawn(spark: SparkSession, n: int = DRAWN) -> DataFrame:
-    """Random strings, labelled so: base64 and hexadecimal of digests."""
-    digest = F.sha2(F.col("id").cast("string").cast("binary"), 256)
-    return spark.range(n).select(F.explode(F.array(F.rtrim(F.base64(F.unhex(digest)), F.lit("=")), F.substring(digest, 1, 40))).alias("sample"), F.lit(True).alias("random"))
+    """Random strings, labelled so: base64 and hexadecimal of digests. Ordinary ones: dates, numbered names, paths and rules."""
+    rows = spark.range(n).withColumn("d", F.sha2(F.col("id").cast("string").cast("binary"), 256))
+    random = F.array(F.rtrim(F.base64(F.unhex("d")), F.lit("=")), F.substring("d", 1, 40))
+    day = F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int") * 5), "yyyy-MM-dd")
+    number = F.col("id").cast("string")
+    ordinary = F.array(
+        day, F.concat(day, F.lit("_"), number), F.concat(F.lit("version-"), number, F.lit("-release")), F.concat(F.lit("section_"), number, F.lit("_part")), F.concat(F.lit("docs/"), number, F.lit("/images/")),
+        F.concat(F.lit("name=value"), number), *[F.repeat(F.lit(c), 20) for c in "-=_+/"],
+    )
+    kinds = [rows.select(F.explode(c).alias("sample"), F.lit(k).alias("random")) for c, k in ((random, True), (ordinary, False))]
+    return kinds[0].unionByName(kinds[1])
 
 
 def train(rows: DataFrame) -> list[list[float]]:
     """Log-likelihood ratios of transitions between character classes, each model smoothed by its own single-character shares."""
-    codes = rows.where(F.length("sample") > 1).select("random", F.expr(_codes("sample")).alias("c"))
+    pieces = rows.where(F.length("sample") > 1).select("random", F.explode(F.expr(_pieces("sample"))).alias("piece")).where(F.length("piece") > 1)
+    codes = pieces.select("random", F.expr(_codes("piece")).alias("c"))
     pairs = codes.select("random", F.explode(F.expr("transform(sequence(1, size(c) - 1), i -> c[i - 1] * 128 + c[i])")).alias("p"))
     counts = pairs.groupBy("random", "p").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 * 67 * 67 rows
     n = len(ALPHABET) + 1
@@ -107,17 +143,19 @@ def train(rows: DataFrame) -> list[list[float]]:
 def all_spans(df: DataFrame, model: list[list[float]], text: str = "text", base: str = "base", out: str = "spans", threshold: float = THRESHOLD) -> DataFrame:
     """Add the pattern matches and the model's spans, sorted by start, then kind."""
     n, t, k = len(model), f"`{text}`", len(PATTERNS)
+    hidden, found = own_names(df, "hidden", "found")
     flat = "array(" + ",".join(f"{x:.6f}D" for line in model for x in line) + ")"
-    candidates = _spans(t, CANDIDATE, 1, 16, k, r"[A-Za-z0-9+/_=-]{16}")
-    word = f"substring({t}, x.start + 1, x.end - x.start)"
+    hint = "[A-Za-z0-9+/_=-]{16}"
+    masked = df.withColumn(hidden, F.when(~F.col(text).rlike(hint), F.lit("")).when(F.size(base) > 0, F.expr(without(t))).otherwise(F.col(text)))
+    candidates = masked.withColumn(found, F.expr(_spans(f"`{hidden}`", CANDIDATE, 1, 16, k, hint)))
+    word = f"substring(`{hidden}`, x.start + 1, x.end - x.start)"
+    # a match that another cuts short may leave a piece of itself
     free = f"not exists({base}, y -> y.start < x.end and x.start < y.end)"
-    mixed = f"{word} rlike '[0-9]' and {word} rlike '[A-Za-z]'"
-    kept = df.withColumn("_c", F.expr(f"filter({candidates}, x -> {free} and {mixed})"))
+    piece = f"transform(array({_codes('p')}), q -> if(size(q) < 2, 0D, aggregate(sequence(1, size(q) - 1), 0D, (s, i) -> s + {flat}[q[i - 1] * {n} + q[i]])))[0]"
+    scored = f"filter({found}, x -> {free} and aggregate({_pieces(word)}, 0D, (a, p) -> a + {piece}) > {threshold} * (x.end - x.start - 1))"
     # rows without candidates never reach the model
-    score = f"aggregate(sequence(1, size(q) - 1), 0D, (s, i) -> s + {flat}[q[i - 1] * {n} + q[i]])"
-    scored = f"filter(_c, x -> exists(transform(array({word}), w -> {_codes('w')}), q -> {score} > {threshold} * (size(q) - 1)))"
-    found = F.when(F.size("_c") > 0, F.expr(f"array_sort(concat({base}, {scored}))")).otherwise(F.col(base))
-    return kept.withColumn(out, found).drop("_c")
+    spans = F.when(F.size(found) > 0, F.expr(f"array_sort(concat({base}, {scored}))")).otherwise(F.col(base))
+    return candidates.withColumn(out, spans).drop(hidden, found)
 
 
 def joined(spans: str) -> Column:
@@ -134,6 +172,8 @@ def redacted(text: str, spans: str, mark: str = "<secret>") -> Column:
 
 def scan(docs: DataFrame, text: str = "text", rows: DataFrame | None = None) -> DataFrame:
     """Add ``base`` and ``spans`` to every document; ``rows`` are own training rows (sample, random)."""
+    if clash := {"base", "spans"} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns {sorted(clash)} would be overwritten: rename them first")
     based = base_spans(docs.withColumn(text, text_of(docs, text)), text)
     model = train(rows if rows is not None else samples(based, text))
     return all_spans(based, model, text)

@@ -1,5 +1,12 @@
+import base64
 import hashlib
+import math
+import random
 import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import secret_scan as S
 
@@ -41,9 +48,96 @@ def test_model_finds_random_strings(spark):
     assert got[3]["s"] == "" and got[3]["r"] == ""
 
 
-def test_odd_rows(odd_docs, no_docs):
-    assert S.scan(odd_docs).count() == odd_docs.count()
+def codes(word):
+    return [S.ALPHABET.find(c) + 1 for c in word]
+
+
+def brute_model(rows):
+    """Log-likelihood ratios by plain counting."""
+    n, logs = len(S.ALPHABET) + 1, []
+    for kind in (True, False):
+        pairs = Counter(p for w, k in rows if k is kind for p in zip(codes(w), codes(w)[1:], strict=False))
+        single = [S.SMOOTH + sum(c for (_, b), c in pairs.items() if b == x) for x in range(n)]
+        total = [sum(c for (a, _), c in pairs.items() if a == x) for x in range(n)]
+        logs.append([[math.log((pairs[a, b] + S.PRIOR * single[b] / sum(single)) / (total[a] + S.PRIOR)) for b in range(n)] for a in range(n)])
+    return [[x - y for x, y in zip(p, q, strict=True)] for p, q in zip(*logs, strict=True)]
+
+
+def brute_spans(text, model):
+    """Base spans, and runs outside them whose mean log-likelihood ratio passes the threshold."""
+    base, hidden = brute(text), list(text)
+    for i, _, j in base:
+        hidden[i:j] = " " * (j - i)
+    out = list(base)
+    for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", "".join(hidden)):
+        c = codes(m[0])
+        if sum(model[x][y] for x, y in zip(c, c[1:], strict=False)) > S.THRESHOLD * (len(c) - 1):
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+def brute_samples(texts):
+    out = []
+    for t in texts:
+        hidden = list(t)
+        for i, k, j in brute(t):
+            out.append((ASSIGN.fullmatch(t[i:j])[2] if k == 0 else t[i:j], True))
+            hidden[i:j] = " " * (j - i)
+        out += [(x, False) for w in re.findall("[A-Za-z_-]{12,}", "".join(hidden)) for x in (w, w.upper())]
+    return out
+
+
+def test_samples_model_and_spans_by_brute_force(spark, sf):
+    texts = [t for t in TRICKY if "password=abc" not in t] + ["x/" + "Qm9vZ1kLw8PzTn4" * 3 + "deadbeefdeadbeef00 " + "a-long_ordinary-word " + "=" * 30, "PASSWORD = '" + "x1" * 30 + "'"]
+    texts += [r[0] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    df = S.base_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = [tuple(r) for r in S.samples(df).collect()]
+    extra = [tuple(r) for r in S.drawn(spark).collect()]
+    assert Counter(rows) == Counter(brute_samples(texts) + extra)
+    assert not [w for w, k in rows if k and w.lower().startswith(("password", "token", "api"))]
+    model, want = S.train(S.samples(df)), brute_model(rows)
+    assert all(x == pytest.approx(y, abs=1e-9) for p, q in zip(model, want, strict=True) for x, y in zip(p, q, strict=True))
+    got = {r[0]: r[1] for r in S.all_spans(df, model).select("doc_id", S.joined("spans")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == text_of(brute_spans(t, model)), t[:200]
+
+
+def test_held_out_precision_and_recall(spark, sf):
+    """Random strings of three kinds and ordinary ones of the corpus and of forms, none of them trained on."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    model = S.train(S.samples(S.base_spans(docs.where(~held).withColumn("text", F.coalesce("text", F.lit(""))))))
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    secrets = [base64.b64encode(rng.randbytes(24)).decode() for _ in range(200)] + ["".join(rng.choices(letters, k=rng.randrange(20, 40))) for _ in range(200)] + ["".join(rng.choices(letters + "0123456789", k=20)) for _ in range(200)]
+    words = [w for r in docs.where(held).collect() for w in re.findall("[A-Za-z]{4,}", r["text"] or "")]
+    ordinary = ["_".join(rng.choices(words, k=3)) for _ in range(300)] + ["-".join(rng.choices(words, k=4)) for _ in range(300)]
+    both = [(w, True) for w in secrets if len(w) >= 16] + [(w, False) for w in ordinary if len(w) >= 16]
+    df = S.base_spans(spark.createDataFrame([(f"see {w} there", k) for w, k in both], "text string, secret boolean"))
+    rows = S.all_spans(df, model).select("secret", (F.size("spans") > F.size("base")).alias("found"), (F.size("base") > 0).alias("base")).where("not base").collect()
+    hits = Counter((r["secret"], r["found"]) for r in rows)
+    recall, precision = hits[True, True] / (hits[True, True] + hits[True, False]), hits[True, True] / (hits[True, True] + hits[False, True])
+    print("recall", recall, "precision", precision)
+    assert recall >= 0.95 and precision >= 0.95
+
+
+def test_odd_rows(spark, odd_docs, no_docs):
+    assert S.scan(odd_docs.withColumns({"k": F.lit(1), "hidden": F.lit(2), "found": F.lit(3)})).count() == odd_docs.count()
     assert S.scan(no_docs).count() == 0
+    with pytest.raises(ValueError, match="overwritten"):
+        S.scan(odd_docs.withColumn("Base", F.lit(1)))
+
+
+def test_long_texts(spark):
+    """A long run of one letter, a long random run, many words, many matches."""
+    rng = random.Random(2)
+    noise = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=1_000_000))
+    texts = ["x" * 10_000_000, noise, "word " * 100_000 + noise[:30], "deadbeefdeadbeef " * 2000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = S.scan(df)
+    got = {r["doc_id"]: r for r in found.select("doc_id", S.joined("spans").alias("s"), F.size("base").alias("n"), F.length(S.redacted("text", "spans")).alias("left")).collect()}
+    assert got[1]["s"].endswith(":0:1000000") or got[1]["s"].count("markov") >= 1
+    assert got[2]["s"] == "markov:500000:500030" and got[3]["n"] == 2000 and got[3]["left"] == 2000 * 9
 
 
 def test_query(spark, sf):
