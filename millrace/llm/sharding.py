@@ -11,8 +11,9 @@
    (slots) are prefix sums over blocks of that number plus the place in the block.
 
 Shard sizes differ by one row at most. All windows are over cells or blocks of bounded size.
-Edge cases: null text has size 16 and the crc32 of the empty string; an empty table gives an
-empty result; equal rows are separate rows; with fewer rows than shards some shards are empty.
+Edge cases: null text has size 16 and the crc32 of the empty string; null keys are keys; long texts
+move whole; an empty table gives an empty result; equal rows are separate rows; with fewer rows
+than shards some shards are empty; other columns may have any names but shard and slot.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import discard, table, text_of, written
+from .common import discard, own_names, table, text_of, written
 
 SHARDS, SEED = 40, 7
 #: Rows of a cell or a slot block, on average.
@@ -116,31 +117,36 @@ def communication_matrix(cells: DataFrame, levels: int, shards: int, seed: int)
 
 
 def assign(df: DataFrame, key: str, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """Add shard and slot to every row of ``df``, which is written once so that rows keep their identity."""
-    n = df.count()
+    """Add shard and slot to every row of ``df``, which is written once so that rows keep their identity.
+
+    Places are found over row numbers alone; the rows themselves, whatever they hold, move once, in
+    the join that gives them their shard. ``shard`` and ``slot`` must not be columns of ``df``.
+    """
+    if clash := {"shard", "slot"} & {c.lower() for c in df.columns}:
+        raise ValueError(f"columns {sorted(clash)} would be overwritten: rename them first")
+    rid, cell = own_names(df, "rid", "cell")
+    whole = written(df.withColumn(rid, F.monotonically_increasing_id()), "rows")
+    n = whole.count()
     levels = max(4, math.ceil(math.log2(max(1, n / CELL_ROWS))))
-    rid = F.monotonically_increasing_id()
-    named = df.withColumn("_rid", rid).withColumn("_cell", F.shiftrightunsigned(F.xxhash64(F.lit(seed), key, "_rid"), 64 - levels))
-    rows = written(named, "shards")
-    matrix = communication_matrix(rows.groupBy(F.col("_cell").alias("cell")).agg(F.count(F.lit(1)).alias("n")), levels, shards, seed)
-    local = W.partitionBy("_cell").orderBy(F.xxhash64(F.lit(seed + 1), "_rid"), "_rid")
-    placed = rows.withColumn("_at", F.row_number().over(local)).join(matrix.withColumnRenamed("cell", "_cell"), "_cell")
-    upto = F.aggregate("counts", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("shard")), lambda s, c: F.struct((s["sum"] + c).alias("sum"), (s["shard"] + F.when(s["sum"] + c < F.col("_at"), 1).otherwise(0)).alias("shard")), lambda s: s["shard"])
+    named = whole.select(F.col(rid).alias("rid"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.col(rid)), 64 - levels).alias("cell"))
+    rows = written(named, "cells")
+    matrix = communication_matrix(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), levels, shards, seed)
+    local = W.partitionBy("cell").orderBy(F.xxhash64(F.lit(seed + 1), "rid"), "rid")
+    placed = rows.withColumn("at", F.row_number().over(local)).join(matrix, "cell")
+    upto = F.aggregate("counts", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("shard")), lambda s, c: F.struct((s["sum"] + c).alias("sum"), (s["shard"] + F.when(s["sum"] + c < F.col("at"), 1).otherwise(0)).alias("shard")), lambda s: s["shard"])
     bits = max(2, math.ceil(math.log2(max(1, n / shards / CELL_ROWS))) + 1)
-    second = F.xxhash64(F.lit(seed + 2), "_rid")
-    sent = placed.withColumn("shard", upto).withColumn("_k", second).withColumn("_block", F.shiftrightunsigned("_k", 64 - bits)).drop("counts", "_at", "_cell")
-    sent = written(sent, "shards")
-    discard(rows)
-    blocks = sent.groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(W.partitionBy("shard").orderBy("_block")) - F.col("_n")
-    blocks = blocks.select("shard", "_block", before.alias("_before"))
-    at = F.row_number().over(W.partitionBy("shard", "_block").orderBy(F.shiftleft("_k", bits), "_rid"))
-    return sent.withColumn("_at", at).join(blocks, ["shard", "_block"]).withColumn("slot", (F.col("_before") + F.col("_at") - 1).cast("long")).drop("_before", "_at", "_block", "_k", "_rid")
+    sent = placed.select("rid", upto.alias("shard"), F.xxhash64(F.lit(seed + 2), "rid").alias("k"))
+    sent = written(sent.withColumn("block", F.shiftrightunsigned("k", 64 - bits)), "shards")
+    blocks = sent.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
+    blocks = blocks.select("shard", "block", (F.sum("n").over(W.partitionBy("shard").orderBy("block")) - F.col("n")).alias("before"))
+    at = F.row_number().over(W.partitionBy("shard", "block").orderBy(F.shiftleft("k", bits), "rid"))
+    slots = written(sent.withColumn("at", at).join(blocks, ["shard", "block"]).select(F.col("rid").alias(rid), "shard", (F.col("before") + F.col("at") - 1).cast("long").alias("slot")), "slots")
+    discard(rows, matrix, sent)
+    return whole.join(slots, rid).drop(rid)
 
 
 def op4_hypergeometric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    body = text_of(docs).cast("binary")
-    rows = docs.select("doc_id", (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
-    out = assign(rows, "doc_id")
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+    out = assign(table(spark, sf_dir, "documents"), "doc_id")
+    body = text_of(out).cast("binary")
+    size = (F.octet_length(body) + 16).cast("long")
+    return out.select("doc_id", size.alias("size"), F.crc32(body).alias("text_crc32"), F.lit("rows").alias("law"), F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import sharding as S
@@ -52,6 +53,12 @@ def test_query(spark, sf):
 def test_odd_rows(spark, odd_docs, no_docs):
     check(S.assign(odd_docs, "doc_id").collect(), odd_docs.count())
     check(S.assign(no_docs, "doc_id").collect(), 0)
+    named = odd_docs.withColumns({c: F.lit("x") for c in ("counts", "rid", "cell", "block", "n")}).withColumn("text", F.when(F.col("doc_id") == 4, F.repeat(F.lit("long "), 200_000)).otherwise(F.col("text")))
+    got = S.assign(named, "doc_id")
+    assert got.columns == [*named.columns, "shard", "slot"]
+    assert sorted(map(str, got.drop("shard", "slot").collect())) == sorted(map(str, named.collect()))
+    with pytest.raises(ValueError, match="overwritten"):
+        S.assign(odd_docs.withColumn("Slot", F.lit(1)), "doc_id")
     same = spark.range(1000).select(F.lit(1).alias("doc_id"))
     check(S.assign(same, "doc_id").collect(), 1000)
 
