@@ -32,7 +32,8 @@ WEIGHTS = (1, 2, 3)
 #: Slopes of the demand's rate, by the source's place: falling, level and rising over training.
 SLOPES = (-0.5, 0.0, 0.5)
 SEED = 11
-BLOCK_ROWS = 20_000
+#: Rows and words of a block on average, at most; the largest source has at least twice as many blocks as a shuffle has partitions.
+BLOCK_ROWS, BLOCK_WORDS = 20_000, 4_000_000
 #: Sums of blocks are broadcast up to so many rows (a few MB), else joined by a shuffle.
 BROADCAST_ROWS = 50_000
 
@@ -77,8 +78,9 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     shared = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
     plan = targets(shared.select("source", "source_size"), weights, repeats, slopes)
     # blocks of the random order, as many as the largest source needs
-    largest = shared.agg(F.max("_n")).first()[0] or 0
-    bits = max(2, math.ceil(math.log2(max(1, largest / BLOCK_ROWS))))
+    largest, words = (x or 0 for x in shared.agg(F.max("_n"), F.max("source_size")).first())
+    tasks = 2 * n_partitions(docs.sparkSession)
+    bits = max(2, math.ceil(math.log2(max(1, largest / BLOCK_ROWS, words / BLOCK_WORDS, min(tasks, largest)))))
     block = F.shiftrightunsigned("_k", 64 - bits)
     # what is carried is shuffled once, with its row, and not written
     rows = (docs.select(*columns, *more) if carry else narrow).withColumn("_b", block)
@@ -94,9 +96,9 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     joined = at.join(blocks, at["source"].eqNullSafe(blocks["_s"]) & (at["_b"] == blocks["_bb"]))
     goal = F.round("target").cast("long")
     offset = lambda i: (i - 1) * F.col("source_size") + F.col("_before") + F.col("_at")
-    words = lambda i: F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), goal - offset(i)))
+    used = lambda i: F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), goal - offset(i)))
     passes = F.filter(
-        F.transform(F.sequence(F.lit(1), F.lit(repeats)), lambda i: F.struct(i.alias("pass"), words(i).alias("words"), position(offset(i) / F.greatest(F.col("target"), F.lit(1.0)), F.col("slope")).alias("position"))),
+        F.transform(F.sequence(F.lit(1), F.lit(repeats)), lambda i: F.struct(i.alias("pass"), used(i).alias("words"), position(offset(i) / F.greatest(F.col("target"), F.lit(1.0)), F.col("slope")).alias("position"))),
         lambda x: x["words"] > 0,
     )
     out = joined.withColumn("passes", passes)
@@ -133,6 +135,8 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str
 
 
 def op6_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the positions of all its passes, range-sorted by the first; documents that are not taken come last."""
     a = assign(table(spark, sf_dir, "documents"))
-    first = F.get("passes", F.lit(0))["position"]
-    return a.select("doc_id", "size", "source_size", "target", "taken", first.alias("position"))
+    positions = F.transform("passes", lambda p: p["position"])
+    rows = a.select("doc_id", "size", "source_size", "target", "taken", F.get(positions, F.lit(0)).alias("position"), positions.alias("positions"))
+    return rows.orderBy(F.col("position").asc_nulls_last(), "doc_id")

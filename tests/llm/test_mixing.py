@@ -1,3 +1,4 @@
+import math
 import re
 from collections import defaultdict
 
@@ -67,6 +68,47 @@ def test_positions_invert_demand(spark):
             assert 0 <= t <= 1 and t + slope * (t * t - t) == pytest.approx(r["u"], abs=1e-6)
 
 
+def test_taken_and_positions_by_brute_force(spark, sf):
+    """The random order is Spark's hash; sums, cuts and inverted demand are plain loops."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", "source", "text", F.xxhash64(F.lit(M.SEED), "doc_id", "text").alias("k")).collect()
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r["source"]] += len(WORD.findall(r["text"] or ""))
+    want, used, names = brute_targets(dict(sizes)), defaultdict(int), sorted(sizes, key=lambda s: (s is None, s))
+    got = {r["doc_id"]: r for r in M.op6_curriculum(spark, sf).collect()}
+    largest = max(sum(r["source"] == s for r in rows) for s in sizes)
+    bits = max(2, math.ceil(math.log2(min(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), largest))))
+
+    def order(r):
+        u = r["k"] % 2**64
+        rest = (u << bits) % 2**64
+        return u >> (64 - bits), rest - (rest >> 63 << 64), r["doc_id"]
+
+    for r in sorted(rows, key=order):
+        s, n = r["source"], len(WORD.findall(r["text"] or ""))
+        slope, passes = M.SLOPES[names.index(s) % 3], []
+        for i in range(3):
+            at = i * sizes[s] + used[s]
+            words = min(n, round(want[s]) - at)
+            if words > 0:
+                lo, hi = 0.0, 1.0
+                for _ in range(60):
+                    t = (lo + hi) / 2
+                    lo, hi = (t, hi) if t + slope * (t * t - t) < at / want[s] else (lo, t)
+                passes.append((words, lo))
+        used[s] += n
+        g = got[r["doc_id"]]
+        assert g["taken"] == sum(w for w, _ in passes)
+        assert g["positions"] == pytest.approx([t for _, t in passes], abs=1e-6)
+
+
+def test_query_is_range_sorted(spark, sf):
+    first = [r["position"] for r in M.op6_curriculum(spark, sf).collect()]
+    there = [p for p in first if p is not None]
+    assert there == sorted(there) and first[len(there) :] == [None] * (len(first) - len(there))
+
+
 def test_schedule_is_sorted(spark, sf):
     rows = M.schedule(M.assign(spark.read.parquet(f"{sf}/documents.parquet"))).collect()
     assert [r["position"] for r in rows] == sorted(r["position"] for r in rows)
