@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 # JVM-side definitions; Catalyst inlines them
 DEFINITIONS = (
-    "text_extract(s STRING, i INT) RETURNS STRING RETURN coalesce(try_element_at(split(s, ' '), i + 1), '')",
+    "text_extract(s STRING, i INT) RETURNS STRING RETURN coalesce(try_element_at(split(s, ' ', i + 2), i + 1), '')",
     """millrace_substr(s STRING, p INT, n INT) RETURNS STRING RETURN CASE
         WHEN n IS NULL THEN CASE WHEN p > 0 THEN substring(s, p) WHEN p = 0 THEN s ELSE substring(s, greatest(length(s) + p, 0) + 1) END
         WHEN n < 0 THEN substring(s, greatest((CASE WHEN p < 0 THEN length(s) + p + 1 ELSE p END) + n, 1), greatest(least(-n, (CASE WHEN p < 0 THEN length(s) + p + 1 ELSE p END) - 1), 0))

@@ -322,6 +322,9 @@ class Grouped:
 class Series:
     """One named column."""
 
+    #: Rows that one task folds.
+    RUN = 100_000
+
     def __init__(self, df: DataFrame, name: str | None = None):
         self.df, self.name = df, name or df.columns[0]
 
@@ -378,10 +381,22 @@ class Series:
         schema = ST.StructType([ST.StructField(name, T.SPARK_TYPES[T.get_format(fmt)])])
         return self._new(Frame(self.df.select(self.column)).flat_map_row(schema, lambda row: ((v,) for v in f(row[name]))).df)
 
-    def reduce(self, f: Callable[[Column, Column], Column], start: Any) -> Any:
-        """Left fold in scan order with a Column function. Partitions fold their runs in order only if it is associative; see agg for the rest."""
-        ordered = row_index(self.df.select(self.column), "_i")
-        return ordered.agg(F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("_i", self.column.alias("v")))), lambda x: x["v"]), start if isinstance(start, Column) else F.lit(start), f)).first()[0]
+    def reduce(self, f: Callable[[Column, Column], Column], start: Any, merge: Callable[[Column, Column], Column] | None = None) -> Any:
+        """Left fold in scan order with a Column function.
+
+        With ``merge``, which joins the folds of two neighbouring runs (each from ``start``), runs of
+        ``RUN`` rows are folded in parallel. Without it the whole series must be one run.
+        """
+        first = start if isinstance(start, Column) else F.lit(start)
+        fold = lambda rows, g: F.aggregate(F.transform(F.array_sort(rows), lambda x: x["v"]), first, g)
+        ordered = row_index(self.df.select(self.column), "_i").select("_i", self.column.alias("v"))
+        runs = ordered.groupBy(F.floor(F.col("_i") / self.RUN).alias("_i")).agg(fold(F.collect_list(F.struct("_i", F.struct("v").alias("v"))), lambda a, x: f(a, x["v"])).alias("v"))
+        if merge is None:
+            found = runs.limit(2).collect()
+            if len(found) > 1:
+                raise FrameError(f"a fold of more than {self.RUN} rows needs merge")
+            return found[0]["v"] if found else self.df.sparkSession.range(1).select(first).first()[0]
+        return runs.agg(fold(F.collect_list(F.struct("_i", "v")), merge)).first()[0]
 
     def when_nil(self, value: Any) -> Series:
         return self._new(self.df.select(F.coalesce(self.column, F.lit(value)).alias(self.name)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import re
 import uuid
@@ -11,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.types import normalised, same_schema
+from ..functions.types import normalised
 from ..operators.frame import Frame, row_index
+from ..session import shared_dir, ship
 from .locator import Location, SourceError
 
 
@@ -41,10 +43,15 @@ def _names(spark: SparkSession, path: str) -> list:
 
 # ---------------------------------------------------------------- readers
 def read_csv(spark: SparkSession, paths: list[str], location: Location, config) -> DataFrame:
-    """All columns are strings; an empty cell is the empty string; a ragged row is an error."""
+    """All columns are strings, by position under the first file's names; an empty cell is the empty string; a ragged row is an error.
+
+    ``csv.lines`` says that no cell holds a line break, so that a file is read by many tasks.
+    """
     header = location.flag("csv.hasHeader", config)
-    reader = spark.read.options(header=header, sep=_sep(location, config), quote='"', escape='"', multiLine=True, mode="FAILFAST", enforceSchema=False)
-    df = reader.csv(paths)
+    reader = spark.read.options(header=header, sep=_sep(location, config), quote='"', escape='"', multiLine=not location.flag("csv.lines", config), mode="FAILFAST")
+    df = reader.csv(paths[0])
+    if len(paths) > 1:
+        df = reader.schema(df.schema).csv(paths)
     if not header:
         df = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
@@ -110,7 +117,25 @@ def read_xml(spark: SparkSession, paths: list[str], location: Location, config)
 
 
 def read_parquet(spark: SparkSession, paths: list[str], location: Location, config) -> DataFrame:
-    return normalised(spark.read.parquet(*paths))
+    """Columns by position under the first file's names; files of one schema, by their footers, are one scan."""
+    alike: dict[str, list[str]] = {}
+    for p in paths:
+        alike.setdefault(_footer(spark, p) if len(paths) > 1 else "", []).append(p)
+    scans = [normalised(spark.read.parquet(*group)) for group in alike.values()]
+    if len(scans) == 1:
+        return scans[0]
+    return Frame.merge(*[Frame(f) for f in scans]).df
+
+
+def _footer(spark: SparkSession, path: str) -> str:
+    """A Parquet file's schema, without its name."""
+    jvm = spark._jvm
+    file = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration())
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(file)
+    try:
+        return reader.getFooter().getFileMetaData().getSchema().toString().partition("{")[2]
+    finally:
+        reader.close()
 
 
 def read_text(spark: SparkSession, paths: list[str], location: Location, config) -> DataFrame:
@@ -123,10 +148,7 @@ READERS = {"csv": read_csv, "json": read_json, "xml": read_xml, "parquet": read_
 
 
 def _staging(spark: SparkSession) -> str:
-    from tempfile import mkdtemp
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + mkdtemp(prefix="millrace-")
-    return f"{base.rstrip('/')}/millrace-sources/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/millrace-sources/{uuid.uuid4().hex}"
 
 
 def stage_texts(entries: DataFrame) -> list[str]:
@@ -155,6 +177,7 @@ def unpack(spark: SparkSession, paths: list[str], kind: str) -> list[str]:
                     rows.append((path, unframed(content).decode("utf-8-sig")))
             yield pd.DataFrame(rows, columns=["name", "text"])
 
+    ship(spark)
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     return stage_texts(files.mapInPandas(decode, "name string, text string"))
 
@@ -201,11 +224,6 @@ def read_files(spark: SparkSession, location: Location, config=None) -> Frame:
         read = READERS.get(first.format, read_text)
     if kind in ("zip", "snappy") and read is not read_parquet:
         paths = unpack(spark, paths, kind)
-    if len(paths) > 1 and read in (read_csv, read_parquet):
-        frames = [read(spark, [p], location, config) for p in paths] if len(paths) <= 16 else None
-        if frames and not all(same_schema(frames[0], f) for f in frames[1:]):
-            # columns by position under the first one's names
-            return Frame.merge(*[Frame(f) for f in frames], name=location.name)
     return Frame(read(spark, paths, location, config), location.name)
 
 
@@ -314,3 +332,33 @@ def _publish(spark: SparkSession, parts: str, target: str, wrap: tuple[str, str,
         stream.write(bytearray(tail, "utf-8"))
         stream.close()
     src.delete(path(parts), True)
+
+
+def framed(data: bytes) -> bytes:
+    """Encode in the framed snappy format, uncompressed chunks of at most 65,536 bytes; checksums are left at zero, which readers here ignore."""
+    chunks = [data[i : i + 65_532] for i in range(0, len(data), 65_532)]
+    return b"\xff\x06\x00\x00sNaPpY" + b"".join(b"\x01" + (len(c) + 4).to_bytes(3, "little") + bytes(4) + c for c in chunks)
+
+
+def packed(spark: SparkSession, frame: Frame, target: str, kind: str) -> None:
+    """Write a small frame as one file in a form the sinks do not write: gz, zip (two entries), snappy, a JSON root node, or its second column as text."""
+    rows = [["" if v is None else str(v) for v in r] for r in frame.df.collect()]
+    csv = "".join(",".join(r) + "\n" for r in [frame.df.columns, *rows]).encode()
+    if kind == "gz":
+        data = gzip.compress(csv)
+    elif kind == "zip":
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name in ("a.csv", "b.csv"):
+                z.writestr(name, csv)
+        data = out.getvalue()
+    elif kind == "snappy":
+        data = framed(csv)
+    elif kind == "root":
+        data = ('{"rows":[' + ",".join(r[0] for r in json_lines(frame.df).collect()) + "]}").encode()
+    else:
+        data = "".join(r[1] + "\n" for r in rows).encode()
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    stream.write(bytearray(data))
+    stream.close()

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass, field
-from urllib.parse import parse_qsl, unquote
+from urllib.parse import unquote, unquote_plus
 
 FILE_SCHEMES = {"", "file", "s3", "s3a", "gs", "hdfs", "viewfs", "abfss"}
 #: Schemes that only say which format a local path has.
@@ -82,5 +83,7 @@ def parse(url: str) -> Location:
         head, colon, tail = rest.partition(":")
         if colon and head.lower() in RDBMS_SCHEMES:
             scheme, path = head, tail
-    options = dict(parse_qsl(query.replace(";", "&"), keep_blank_values=True))
+    # a separator is followed by a key, so a value may be one
+    pairs = [p.partition("=") for p in re.split(r"[&;](?=[\w.]+=)", query) if p]
+    options = {unquote_plus(k): unquote_plus(v) for k, _, v in pairs}
     return Location(scheme.lower(), unquote(path) if scheme in ("", "file") else path, alias, options, url)

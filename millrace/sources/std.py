@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from itertools import chain
 from typing import TextIO
 
 from pyspark.sql import SparkSession
@@ -34,14 +35,13 @@ def shown(value) -> str:
 
 
 def write_table(frame: Frame, out: TextIO) -> None:
-    """A plain table: widths need a first pass, rows are fetched a partition at a time."""
+    """A plain table: one pass for the widths, one that fetches rows a partition at a time and keeps none."""
     names = frame.df.columns
     widths = [len(n) for n in names]
     text = frame.df.toDF(*[f"_{i}" for i in range(len(names))])
-    rows = [[shown(v) for v in row] for row in text.toLocalIterator()]
-    for row in rows:
-        widths = [max(w, len(c)) for w, c in zip(widths, row, strict=True)]
-    for row in [[n.upper() for n in names], ["-" * w for w in widths], *rows]:
+    for row in text.toLocalIterator():
+        widths = [max(w, len(shown(v))) for w, v in zip(widths, row, strict=True)]
+    for row in chain(([n.upper() for n in names], ["-" * w for w in widths]), ([shown(v) for v in row] for row in text.toLocalIterator())):
         out.write("  ".join(c.ljust(w) for c, w in zip(row, widths, strict=True)).rstrip() + "\n")
 
 

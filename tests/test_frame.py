@@ -201,3 +201,13 @@ def test_conversions(spark):
     assert T.get_format("UINT8") == "integer" and T.get_format("time") == "datetime"
     with pytest.raises(T.FormatError):
         T.get_format("nope")
+
+
+def test_reduce_in_runs(spark, monkeypatch):
+    values = Series.of(spark, "string", list("abcdefghij"), "v")
+    assert values.reduce(lambda a, x: F.concat(a, x), "") == "abcdefghij"
+    monkeypatch.setattr(Series, "RUN", 3)
+    assert values.reduce(lambda a, x: F.concat(a, x), "", merge=lambda a, b: F.concat(a, b)) == "abcdefghij"
+    with pytest.raises(FrameError):
+        values.reduce(lambda a, x: F.concat(a, x), "")
+    assert Series(spark.createDataFrame([], "v string")).reduce(lambda a, x: F.concat(a, x), "s", merge=lambda a, b: F.concat(a, b)) == "s"

@@ -8,6 +8,7 @@ import sys
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.cli import main
 from millrace.operators.frame import Frame
@@ -211,3 +212,41 @@ def test_command_line(spark, d, monkeypatch, capsys):
     assert go("-input.std.type=csv", "-output.std.type=csv", "select x from stdin where y = '2'", "-", stdin="x,y\n1,2\n3,4\n")[1] == "x\n1\n"
     assert go()[0] == 1 and go("select nope from stdin", "-")[0] == 1
     assert std.shown(None) == "<nil>" and std.shown(2.0) == "2"
+
+
+@pytest.mark.parametrize("n", [3, 16, 17, 120])
+def test_files_of_other_headers_merge_by_position(spark, tmp_path, n):
+    """Whatever the number of files, columns go by position under the first file's names."""
+    for i in range(n):
+        (tmp_path / f"f{i:03}.csv").write_text(("x,y\n" if i % 2 == 0 else "y,x\n") + f"l{i},r{i}\n")
+    df = read_sources(spark, {}, f"{tmp_path}/*.csv#f")[0].df
+    assert df.columns == ["x", "y"] and sorted(map(tuple, df.collect())) == sorted((f"l{i}", f"r{i}") for i in range(n))
+
+
+def test_parquet_files_of_other_schemas_merge_by_position(spark, tmp_path):
+    for i in range(20):
+        spark.range(i, i + 1).select(*([F.col("id").alias("a"), F.lit("s").alias("b")] if i % 2 == 0 else [F.col("id").alias("c"), F.lit("t").alias("d")])).coalesce(1).write.parquet(str(tmp_path / "w" / str(i)))
+        next((tmp_path / "w" / str(i)).glob("part-*.parquet")).rename(tmp_path / f"p{i:02}.parquet")
+    df = read_sources(spark, {}, f"{tmp_path}/*.parquet#p")[0].df
+    assert df.columns == ["a", "b"] and sorted(map(tuple, df.collect())) == [(i, "st"[i % 2]) for i in range(20)]
+
+
+def test_a_value_may_be_a_separator():
+    assert parse("a.csv?csv.sep=;&x=1").options == {"csv.sep": ";", "x": "1"}
+    assert parse("a.csv?csv.sep=%26;csv.hasHeader=false#n").options == {"csv.sep": "&", "csv.hasHeader": "false"}
+    assert parse("a.csv?csv.sep=;").options == {"csv.sep": ";"}
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from millrace.session import shared_dir
+
+    def session(master, folder=None, checkpoint=None):
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: checkpoint), conf=SimpleNamespace(get=lambda k, d=None: folder))
+
+    assert shared_dir(session("yarn", "hdfs://x/c/")) == "hdfs://x/c" and shared_dir(session("yarn", None, "hdfs://x/d")) == "hdfs://x/d"
+    assert shared_dir(session("local[4]")).startswith("file://")
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint.dir"):
+            shared_dir(session(master))
