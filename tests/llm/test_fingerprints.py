@@ -2,7 +2,11 @@ import hashlib
 import math
 import random
 import re
+import struct
+from collections import Counter
 
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from millrace.llm import fingerprints as I
@@ -64,6 +68,56 @@ def test_lexicon_is_the_idf_band(spark):
     assert len(bits) == 1 << (I.LEXICON_BITS - 6)
 
 
+def h64(*parts):
+    """Spark's xxhash64 of longs, ints and strings in turn."""
+    seed = 42
+    for x in parts:
+        raw = x.encode() if isinstance(x, str) else struct.pack("<i", x[0]) if isinstance(x, tuple) else struct.pack("<q", x)
+        seed = xxhash.xxh64_intdigest(raw, seed=seed)
+    return seed - (seed >> 63 << 64)
+
+
+def brute_terms(text):
+    return sorted({h64(w) for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w})
+
+
+def brute_fingerprint(text, held):
+    """Sorted lexicon terms, hashed by each sub-lexicon; all of them, or the text, where there are none."""
+    kept = [h for h in brute_terms(text) if (h % 2**64) >> (64 - I.LEXICON_BITS) in held]
+    every = h64(*kept) if kept else h64(text, (1,))
+    draw, out = random.Random(I.SEED), []
+    for k, p in enumerate(I.SUBSETS):
+        mask = sum(1 << i for i in draw.sample(range(64 - I.LEXICON_BITS), p))
+        part = [h for h in kept if h & mask == 0]
+        out.append(h64(*part, (k,)) if part else every)
+    return [*out, every]
+
+
+def test_fingerprints_and_likeness_by_brute_force(spark, sf):
+    docs = sorted((r[0], r[1] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    df = Counter(h for _, t in docs for h in brute_terms(t))
+    lo, hi = len(docs) / math.exp(I.IDF_BAND[1]), max(1.0, len(docs) / math.exp(I.IDF_BAND[0]))
+    held = {(h % 2**64) >> (64 - I.LEXICON_BITS) for h, n in df.items() if lo <= n <= hi}
+    like = lambda a, b: sum(x == y for x, y in zip(a, b, strict=True)) / len(a)
+    hexed = lambda f: "".join(f"{x % 2**64:016x}" for x in f)
+    fp, new = {k: brute_fingerprint(t, held) for k, t in docs}, edited(docs)
+    rows = {r["doc_id"]: r for r in I.op1_imatch(spark, sf).collect()}
+    for i, (k, _) in enumerate(docs):
+        other = brute_fingerprint(new[k][2], held)
+        r = rows[k]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (hexed(fp[k]), hexed(other)), k
+        assert (r["near_edited"], r["near_next"]) == (like(fp[k], other), like(fp[k], fp[docs[(i + 1) % len(docs)][0]]))
+
+
+def test_repeated_null_and_long(spark):
+    rows = [(3, "b"), (3, "a"), (None, "n"), (4, "word " * 100_000), (5, "x" * 3_000_000)]
+    df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, t string").withColumn("terms", F.lit(1)).repartition(2)
+    got = I.edited_fingerprints(df).collect()
+    assert len(got) == 5 and sorted(r["n_chars"] for r in got) == [1, 1, 1, 500_000, 3_000_000]
+    lex = I.lexicon(df)
+    assert I.fingerprint_columns(df, F.col("text"), lex, "fp").columns == [*df.columns, "fp"]
+
+
 def test_likeness_falls_with_edits(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(4000)]
