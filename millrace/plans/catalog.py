@@ -12,7 +12,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.exprs import BoolExpr, DatetimeExpr, DoubleExpr, IntExpr, StringExpr
 from ..operators.frame import CROSS_JOIN, EQUI_JOIN, LEFT_JOIN, OUTER_JOIN, RIGHT_JOIN, Frame, Series
@@ -250,19 +249,10 @@ _sql("win_named", "SELECT o_orderkey, CAST(row_number() OVER w AS BIGINT) AS r,
 _sql("win_filter", "SELECT o_orderkey, CAST(count(CASE WHEN o_orderstatus = 'F' THEN 1 END) OVER (PARTITION BY o_custkey) AS BIGINT) AS w FROM orders", "SELECT o_orderkey, CAST(count(*) FILTER (WHERE o_orderstatus = 'F') OVER (PARTITION BY o_custkey) AS BIGINT) AS w FROM orders")
 
 
-@_api("win_frame_groups", "SELECT o_orderkey, CAST(count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS w FROM orders")
-def _groups_frame(t):
-    """A GROUPS frame is a RANGE frame over the dense rank."""
-    ranked = t("orders").df.withColumn("g", F.dense_rank().over(W.partitionBy("o_custkey").orderBy("o_orderpriority")))
-    return ranked.select("o_orderkey", F.count(F.lit(1)).over(W.partitionBy("o_custkey").orderBy("g").rangeBetween(-1, 1)).alias("w"))
-
-
-@_api("win_exclude_current", "SELECT o_orderkey, CAST(coalesce(sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW), 0) AS BIGINT) AS w FROM orders")
-def _exclude_current(t):
-    """EXCLUDE CURRENT ROW splits the frame into the parts before and after the row."""
-    w = W.partitionBy("o_custkey").orderBy("o_orderkey")
-    part = lambda a, b: F.coalesce(F.sum("o_orderkey").over(w.rowsBetween(a, b)), F.lit(0))
-    return t("orders").df.select("o_orderkey", (part(-2, -1) + part(1, 2)).alias("w"))
+_sql("win_frame_groups", "SELECT o_orderkey, CAST(count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS w FROM orders")
+for _name, _f in (("current", "CAST(coalesce(sum(o_orderkey) {}, 0) AS BIGINT)"), ("current_min", "min(o_orderkey) {}"), ("current_avg", "ROUND(avg(o_totalprice) {}, 4)")):
+    _call = _f.format("OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW)")
+    _sql(f"win_exclude_{_name}", f"SELECT o_orderkey, {_call} AS w FROM orders")
 
 
 # ---------------------------------------------------------------- order, limits, sets
