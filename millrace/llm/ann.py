@@ -47,8 +47,8 @@ PART_ROWS, PART_QUERIES = 65_536, 8_192
 LEAST_ROWS = 2_048
 #: So few rows are all candidates.
 FEW = 500
-#: A range of norms ends where a norm falls below this share of its largest, and it holds 1/128 of the part.
-NORM_SHARE = 0.85
+#: A range of norms ends where a norm falls below this share of its largest, and it holds so many rows.
+NORM_SHARE, LEAST_RANGE = 0.85, 32
 #: Queries of one vector that one task of the final join takes.
 SAME = 10_000
 
@@ -144,7 +144,7 @@ class Forest:
 
 def _ranges(norm: np.ndarray):
     """Bounds of ranges of norms that descend."""
-    i, least = 0, max(32, len(norm) // 128)
+    i, least = 0, LEAST_RANGE
     while i < len(norm):
         j = max(i + least, int(np.searchsorted(-norm, -NORM_SHARE * norm[i], "right")))
         j = len(norm) if len(norm) - j < least else j
