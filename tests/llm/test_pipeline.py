@@ -1,10 +1,15 @@
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline as P
+from millrace.llm import langid as L
 
+from .test_langid import brute_fit, brute_shares, folded
 from .test_mixing import WORD, brute_targets
 from .test_near_dedup import brute, shingles
 
@@ -28,10 +33,18 @@ def test_columns(kept):
     assert all(d.columns == kept[0].columns for d in kept[1:5])
 
 
-def test_language_stage_keeps_clean(spark, kept, odd_docs):
-    assert {r["doc_id"] for r in rows(kept[1])} == {r["doc_id"] for r in rows(kept[0]) if re.search(r"[^\W\d_]", r["text"] or "")}
-    got = rows(P.identify_language(spark, odd_docs, ""))
-    assert {r["doc_id"] for r in got} >= {6, 7} and not {r["doc_id"] for r in got} & {0, 1, 2}
+def test_language_stage_by_brute_force(spark, sf, kept, odd_docs):
+    """A row stays where it has letters and a language holds enough of its n-grams, by plain sets of strings."""
+    before = rows(kept[0])
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    sets = brute_fit([(r["lang"], r["text"]) for r in before if not held(r["doc_id"])], L.SAMPLE, L.PROFILE)
+    after = {r["doc_id"] for r in rows(kept[1])}
+    for r in before:
+        share = max(brute_shares(r["text"], sets).values()) if len(folded(r["text"] or "")) > 1 else 0
+        if abs(share - P.LEAST_SHARE) > 0.02:
+            assert (r["doc_id"] in after) == (share >= P.LEAST_SHARE), (r["doc_id"], share)
+    got = {r["doc_id"] for r in rows(P.identify_language(spark, odd_docs, ""))}
+    assert got >= {6, 7} and not got & {0, 1, 2}
 
 
 def test_dedup_stage(kept):
@@ -71,18 +84,33 @@ def test_mixing_stage(kept):
 
 
 def test_packing_stage(kept):
-    mixed, packed = kept[4].count(), rows(kept[5])
-    assert sum(r["length"] for r in packed if r["start"] == 0) > 0 and sum(r["start"] == 0 for r in packed) == mixed
+    """Every piece holds its document's ids by the library's plain call; sequences are full but the last."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    mixed, packed = rows(kept[4]), rows(kept[5])
+    ids = defaultdict(set)
+    for r in mixed:
+        ids[r["doc_id"]].add((*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 1))
     used = Counter()
     for r in packed:
         used[r["sequence_id"]] += r["length"]
-    assert all(n == 2048 for s, n in used.items() if s != max(used))
+        crc = lambda x: zlib.crc32(b"".join(t.to_bytes(4, "little") for t in x[r["start"] : r["start"] + r["length"]]))  # noqa: E731, B023
+        assert any(len(x) == r["doc_tokens"] and crc(x) == r["ids_crc32"] for x in ids[r["doc_id"]])
+    assert Counter(r["doc_id"] for r in packed if r["start"] == 0) == Counter(r["doc_id"] for r in mixed)
+    assert all(n == 2048 for s, n in used.items() if s != max(used)) and sorted(used) == list(range(len(used)))
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
-    for start in (odd_docs, no_docs):
-        docs = start.select("doc_id", "text", "lang", "source", "n_chars")
+    """Each stage alone, then one after another."""
+    total = odd_docs.count()
+    alone = {name: stage(spark, odd_docs, "") for name, stage in P.STAGES}
+    assert {r["doc_id"] for r in rows(alone["language_id"])} <= {3, 4, 5, 6, 7, 8}
+    assert sorted(r["doc_id"] for r in rows(alone["near_dedup"])) == [0, 1, 2, 3, 4, 5, 6, 8]
+    assert Counter(r["text"] for r in rows(alone["secret_scan"])) == Counter(r["text"] or "" for r in rows(odd_docs))
+    assert all(r["text"] in {x["text"] for x in rows(odd_docs)} or r["n_chars"] == len(r["text"]) for r in rows(alone["mixing"]))
+    assert sum(r["start"] == 0 for r in rows(alone["packing"])) == total
+    for start in (odd_docs.select("doc_id", "text", "lang", "source", "n_chars"), no_docs):
+        docs = start
         for name, stage in P.STAGES:
-            alone = stage(spark, start, "").count()
-            assert alone >= 0
             docs = P.written(stage(spark, docs, ""), f"odd-{name}")
+            if start is no_docs:
+                assert docs.count() == 0
