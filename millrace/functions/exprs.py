@@ -97,6 +97,17 @@ class Expr:
             c = f(c, own)
         return c.alias(self._alias) if self._alias else c
 
+    # operations of the caller's own, as functions of columns; arguments are values or expressions
+    def map_op(self, f: Callable[..., Column], *args: Any, fmt: str | None = None) -> Expr:
+        return self._map(lambda c, own: f(c, *[self._arg(a, own) for a in args]), fmt and T.get_format(fmt))
+
+    def filter_op(self, f: Callable[..., Column], *args: Any) -> Expr:
+        return self._filter(lambda c, own: f(c, *[self._arg(a, own) for a in args]))
+
+    def reduce_op(self, f: Callable[..., Column], *args: Any, fmt: str | None = None) -> Expr:
+        """``f`` makes an aggregate of the value, such as ``F.sum`` or a composition of aggregates."""
+        return self._step("reduce", lambda c, own: f(c, *[self._arg(a, own) for a in args]), fmt and T.get_format(fmt))
+
     # on every format
     def as_format(self, fmt: str, strict: bool = True) -> Expr:
         target = T.get_format(fmt)

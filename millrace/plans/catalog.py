@@ -19,7 +19,7 @@ from ..session import configure, shared_dir
 from ..sources.files import packed
 from ..sources.registry import read_sources, write_source
 from ..streaming.events import sessions, windowed
-from .engine import run_sql
+from .engine import register_function, run_sql
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -368,6 +368,21 @@ _sql("dt_sql_functions", "SELECT o_orderkey, date(o_orderdate) AS d, datetime(o_
      "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS t, strftime(o_orderdate, '%Y/%m/%d %H') AS f, strftime(last_day(o_orderdate), '%Y-%m-%d') AS e FROM orders")
 _sql("dt_julianday", "SELECT event_id, ROUND(julianday(ts), 5) AS v, strftime('%j', ts) AS j FROM events", "SELECT event_id, ROUND(julian(ts) - 0.5, 5) AS v, strftime(ts, '%j') AS j FROM events")
 
+
+# ---------------------------------------------------------------- the caller's own operations and functions
+_api("user_expr_ops", "SELECT o_orderkey, o_custkey * 10 + 7 AS v FROM orders WHERE o_custkey % 3 = 1")(
+    lambda t: t("orders").where_row(IntExpr.col("o_custkey").filter_op(lambda c, n: c % n == 1, 3).predicate()).select("o_orderkey", IntExpr.col("o_custkey").map_op(lambda c, a, b: c * a + b, 10, IntExpr.const(7)).alias("v"))
+)
+_api("user_reduce_op", "SELECT o_orderstatus, max(o_custkey) - min(o_custkey) AS s FROM orders GROUP BY o_orderstatus")(lambda t: t("orders").group("o_orderstatus").agg(IntExpr.col("o_custkey").reduce_op(lambda c: F.max(c) - F.min(c)).alias("s")))
+
+
+@_api("user_sql_function", "SELECT n_nationkey, reverse(n_name) || '!' AS v FROM nation")
+def _user_function(t):
+    nation = t("nation").df
+    register_function(nation.sparkSession, "backwards", lambda s: None if s is None else s[::-1] + "!", "string")
+    return run_sql(nation.sparkSession, "SELECT n_nationkey, backwards(n_name) AS v FROM nation", {"nation": nation})
+
+
 # ---------------------------------------------------------------- sources and sinks
 def _source(key: str, oracle: str, url: str, table: str = "nation", config: dict | None = None, text: str = "", many: int = 1) -> None:
     """A driver table written through the sinks (or, where they refuse, as bytes) and read back through the sources."""

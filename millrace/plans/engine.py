@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import sqlfuncs
 from ..functions.types import BOOLEAN, DATETIME, DOUBLE, INTEGER, STRING, schema_text
@@ -38,6 +39,12 @@ def run_sql(spark: SparkSession, query: str, tables: Mapping[str, DataFrame], co
     return spark.sql(rewrite(query, known, compat))
 
 
+def register_function(spark: SparkSession, name: str, f: Callable, returns: str) -> None:
+    """Make a Python function callable in queries by ``name``; ``returns`` is its Spark type. Arrow-batched; executors get the package."""
+    configure(spark)
+    spark.udf.register(name, F.udf(f, returns, useArrow=True))
+
+
 def query_frames(spark: SparkSession, query: str, config: Mapping[str, str] | None = None, *frames: Frame) -> Frame:
     """Run a query over frames, each under its name."""
     config = dict(config or {})
