@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sqlite3
 
 from pyspark.sql import SparkSession
@@ -22,6 +23,7 @@ def read_rdbms(spark: SparkSession, location: Location, config=None) -> Frame:
         return Frame(_sqlite(spark, location.path, query), location.name)
     kind = _JDBC[location.scheme]
     login, _, host = location.path.rpartition("@")
+    host = re.sub(r"^tcp\((.*?)\)", r"\1", host)  # a protocol may wrap host and port
     url = f"jdbc:{kind}://{host}" + ("?sslmode=disable" if kind == "postgresql" and "sslmode" not in location.options else "")
     reader = spark.read.format("jdbc").option("url", url).option("query", query)
     if login:

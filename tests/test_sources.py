@@ -250,3 +250,45 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
     for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError, match="checkpoint.dir"):
             shared_dir(session(master))
+
+
+def test_object_stores_by_url_and_options(spark):
+    """Paths and credentials as the file systems get them; nothing is fetched."""
+    assert parse("s3://bucket/a/b.csv").hadoop_path == "s3a://bucket/a/b.csv" and parse("gs://bucket/a.json#t").hadoop_path == "gs://bucket/a.json"
+    options = parse("s3://b/x.csv?AWS_ACCESS_KEY_ID=k&aws_secret_access_key=s%2Fx&AWS_REGION=eu-1").options
+    files._s3_options(spark, options)
+    conf = spark._jsc.hadoopConfiguration()
+    assert [conf.get(f"fs.s3a.{x}") for x in ("access.key", "secret.key", "endpoint.region")] == ["k", "s/x", "eu-1"]
+
+
+@pytest.mark.parametrize(("url", "want"), [
+    ("mysql:u:p@tcp(h:1)/d?db.query=select 1", {"url": "jdbc:mysql://h:1/d", "query": "select 1", "user": "u", "password": "p"}),
+    ("postgres://u:p@h:5432/d?db.query=select a from t&partitionColumn=a&numPartitions=4", {"url": "jdbc:postgresql://h:5432/d?sslmode=disable", "query": "select a from t", "user": "u", "password": "p", "partitionColumn": "a", "numPartitions": "4"}),
+])
+def test_databases_get_query_login_and_options(spark, monkeypatch, url, want):
+    from millrace.sources import rdbms
+
+    class Reader:
+        def __init__(self):
+            self.got = {}
+
+        def format(self, kind):
+            assert kind == "jdbc"
+            return self
+
+        def option(self, k, v):
+            self.got[k] = v
+            return self
+
+        def options(self, **more):
+            self.got |= more
+            return self
+
+        def load(self):
+            return spark.range(1).withColumnRenamed("id", "a")
+
+    reader = Reader()
+    frame = rdbms.read_rdbms(type("S", (), {"read": reader})(), parse(url))
+    assert reader.got == want and frame.df.columns == ["a"]
+    with pytest.raises(SourceError, match="query"):
+        rdbms.read_rdbms(None, parse(url.partition("?")[0]))
