@@ -135,11 +135,13 @@ def is_held_out(key: Column) -> Column:
 def _sampled(known: DataFrame, sample: int) -> DataFrame:
     """lang, most: the hash of the last text of each language's sample. known: lang, h, text."""
     hashes = written(known.select("lang", "h").distinct(), "hashes")
-    # a language's counts by 65,536 ranges of hashes tell which ranges hold its sample, so that no task sorts a language
-    ranges = hashes.groupBy("lang", F.shiftright("h", 48).alias("r")).agg(F.count(F.lit(1)).alias("c"))
+    # a language's counts by ranges of hashes (at most 65,536) tell which hold its sample, so that no task sorts a language
+    bits = min(16, max(1, math.ceil(math.log2(max(1, hashes.count()) / sample)) + 3))
+    place = F.shiftright("h", 64 - bits)
+    ranges = hashes.groupBy("lang", place.alias("r")).agg(F.count(F.lit(1)).alias("c"))
     upto = ranges.withColumn("before", F.sum("c").over(W.partitionBy("lang").orderBy("r")) - F.col("c"))
     last = upto.where(F.col("before") < sample).groupBy("lang").agg(F.max("r").alias("last"))
-    few = hashes.join(F.broadcast(last), "lang").where(F.shiftright("h", 48) <= F.col("last"))
+    few = hashes.join(F.broadcast(last), "lang").where(place <= F.col("last"))
     place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
     most = written(few.withColumn("place", place).where(F.col("place") <= sample).groupBy("lang").agg(F.max("h").alias("most")), "bounds")
     discard(hashes)
