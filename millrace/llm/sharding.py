@@ -142,7 +142,8 @@ def assign(df: DataFrame, key: str, shards: int = SHARDS, seed: int = SEED) -> D
     at = F.row_number().over(W.partitionBy("shard", "block").orderBy(F.shiftleft("k", bits), "rid"))
     slots = written(sent.withColumn("at", at).join(blocks, ["shard", "block"]).select(F.col("rid").alias(rid), "shard", (F.col("before") + F.col("at") - 1).cast("long").alias("slot")), "slots")
     discard(rows, matrix, sent)
-    return whole.join(slots, rid).drop(rid)
+    # the exchange: rows move at every size, as a merge join does; a broadcast of the slots would leave them where they are
+    return whole.join(slots.hint("merge"), rid).drop(rid)
 
 
 def op4_hypergeometric(spark: SparkSession, sf_dir: str) -> DataFrame:
