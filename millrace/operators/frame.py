@@ -7,6 +7,7 @@ that speak of positions need an order: they number rows by ``row_index``, in sca
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from typing import Any
@@ -44,6 +45,35 @@ def row_index(df: DataFrame, name: str = "_index") -> DataFrame:
     return joined.withColumn(name, F.col("_before") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))).drop("_mid", "_part", "_before")
 
 
+#: A self-join of more pairs is dealt out by blocks: rows of one key in a block, on average, and pairs in a task.
+BLOCK, PAIRS = 1024, 1 << 23
+
+
+def pair_blocks(df: DataFrame, key: str, left: str, right: str) -> tuple[DataFrame, DataFrame] | None:
+    """Both sides of an inner join of a table with itself on ``key``, dealt out so that pairs spread over tasks.
+
+    Each row falls into one block of its key's rows and is repeated for every block of the other side; the columns ``left`` and
+    ``right`` say which blocks meet, so that each pair of rows of one key meets once when they are joined on too. The number of tasks
+    grows with the number of pairs, which a job counts first. None: there are at most PAIRS.
+    """
+    k = _q(key)
+    rows = df.where(k.isNotNull())
+    counts = rows.groupBy(k.alias("_pair_key")).agg(F.count(F.lit(1)).alias("_pair_n"))
+    pairs = counts.agg(F.sum(F.col("_pair_n").cast("double") * F.col("_pair_n"))).first()[0] or 0
+    if pairs <= PAIRS:
+        return None
+    # one row for BLOCK rows of the table at most
+    blocks = F.broadcast(counts.where(F.col("_pair_n") > BLOCK).select("_pair_key", F.ceil(F.col("_pair_n") / BLOCK).cast("int").alias("_pair_blocks")))
+    # a task repeats about a million rows
+    placed = rows.withColumn("_pair_row", F.monotonically_increasing_id()).repartition(math.ceil(pairs / BLOCK / (1 << 20)), "_pair_row")
+    placed = placed.join(blocks, k == F.col("_pair_key"), "left").withColumn("_pair_blocks", F.coalesce("_pair_blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("_pair_row"), "_pair_blocks").cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("_pair_blocks") - 1))
+    columns = [_q(c) for c in df.columns]
+    side = lambda mine, other: placed.select(*columns, own.alias(mine), every.alias(other)).repartition(math.ceil(pairs / PAIRS), k, F.col(left), F.col(right))
+    return side(left, right), side(right, left)
+
+
 class Frame:
     """A DataFrame with a name."""
 
