@@ -208,28 +208,74 @@ def _equal_bytes(a: str, b: str) -> Column:
     return count(F.col(a), F.col(b))
 
 
+def _unsettled(edges: DataFrame) -> DataFrame:
+    """Ends of distinct edges (u > v) that keep them from being stars: larger ends of several edges, or of one and smaller of another.
+
+    With none, every edge goes from a vertex without others to its star's smallest.
+    """
+    ends = edges.select(F.col("u").alias("k"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("k").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0")
+
+
 def components(links: DataFrame, limit: int = 60) -> DataFrame:
     """key, component (smallest key reachable) of every end of a link (u, v), by large-star and small-star."""
     edges = written(links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     for _ in range(limit):
-        before = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if not _unsettled(edges).limit(1).count():
+            out = edges.select(F.col("u").alias("key"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("key"), F.col("v").alias("component")).distinct())
+            out._millrace_path = edges._millrace_path
+            return out
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = written(both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
+        # a row for each edge at most; what repeats goes after the small stars
+        large = written(both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         small = written(small, "edges")
-        discard(edges)
-        discard(large)
+        discard(edges, large)
         edges = small
-        if edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first() == before:
-            out = edges.select(F.col("u").alias("key"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("key"), F.col("v").alias("component")).distinct())
-            out._millrace_path = edges._millrace_path
-            return out
     raise RuntimeError("components did not settle")
 
 
+class Shared:
+    """Bounds of how many elements sets of one list share with sets of another, many pairs at once.
+
+    A set's elements mark positions of a table by their hashes' top bits, and another set's elements
+    on marked positions are never fewer than those shared: equal elements have equal positions.
+    """
+
+    #: Positions of the table for each element of the largest set, and their bounds in bits; elements looked up at once.
+    ROOM, BITS, AT_ONCE = 64, (16, 24), 1 << 20
+
+    def __init__(self, sets: list[np.ndarray], rest: list[np.ndarray]):
+        bits = min(self.BITS[1], max(self.BITS[0], (self.ROOM * max(map(len, sets), default=0)).bit_length()))
+        self.marks, self.shift, self.sets, self.rest = np.zeros(1 << bits, dtype="u1"), np.uint64(64 - bits), sets, [self._places(x, bits) for x in rest]
+        self.sizes = np.array([len(x) for x in rest], dtype="int64")
+
+    def _places(self, x: np.ndarray, bits: int) -> np.ndarray:
+        return (x.view("uint64") >> np.uint64(64 - bits)).astype("uint32")
+
+    def most(self, k: int, among: np.ndarray) -> np.ndarray:
+        """No less than the number of elements that set ``k`` shares with each (non-empty) set of ``among``."""
+        own = (self.sets[k].view("uint64") >> self.shift).astype("uint32")
+        self.marks[own] = 1
+        out, ends, i = np.empty(len(among), dtype="int64"), np.cumsum(self.sizes[among]), 0
+        while i < len(among):
+            before = int(ends[i - 1]) if i else 0
+            j = max(i + 1, int(np.searchsorted(ends, before + self.AT_ONCE, "right")))
+            found = self.marks[np.concatenate([self.rest[m] for m in among[i:j].tolist()])]
+            out[i:j] = np.add.reduceat(found, np.concatenate([[0], ends[i : j - 1] - before]).astype("int64"), dtype="int64")
+            i = j
+        self.marks[own] = 0
+        return np.minimum(out, len(self.sets[k]))
+
+    def may_link(self, k: int, among: np.ndarray, threshold: int) -> np.ndarray:
+        """Whether set ``k`` and each set of ``among`` may be a link; never false for one that is."""
+        i = self.most(k, among)
+        return 100 * i >= threshold * (len(self.sets[k]) + self.sizes[among] - i)
+
+
 def _open_pairs(opened: DataFrame) -> DataFrame:
     """Pairs of different components in small open buckets."""
     a = opened.select("b", F.col("cid").alias("u"), F.col("component").alias("cu"))
@@ -263,10 +309,14 @@ def _open_blocks(opened: DataFrame, least: int, threshold: int) -> DataFrame:
                 return x
 
             (ids, own, sigs, sets), (others, comp, more, rest) = side(first), side(second)
+            shared, same = Shared(sets, rest), t["i"][0] == t["j"][0]
             for k in range(len(ids)):
-                agree = (more == sigs[k]).sum(axis=1)
-                hopeful = np.flatnonzero((agree >= least) & (comp != own[k]))
-                for m in hopeful[np.argsort(-agree[hopeful], kind="stable")].tolist():
+                # a block meets itself with each pair once
+                begin = k + 1 if same else 0
+                agree = (more[begin:] == sigs[k]).sum(axis=1)
+                hopeful = np.flatnonzero((agree >= least) & (comp[begin:] != own[k]))
+                hopeful = begin + hopeful[np.argsort(-agree[hopeful], kind="stable")]
+                for m in hopeful[shared.may_link(k, hopeful, threshold)].tolist():
                     a, z = root(int(own[k])), root(int(comp[m]))
                     if a == z:
                         continue

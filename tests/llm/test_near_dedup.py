@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from millrace.llm import near_dedup as N
@@ -112,6 +113,37 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(61)) and got[103] == got[101] == got[100] == 100
 
 
+def test_components_take_no_round_to_confirm(spark, monkeypatch):
+    """Edges that are stars are done; each round writes twice."""
+    made, write = [], N.written
+    monkeypatch.setattr(N, "written", lambda df, name, **o: made.append(name) or write(df, name, **o))
+    for pairs, rounds in (([(1, 2), (1, 3), (5, 4), (4, 5)], 0), ([(1, 2), (2, 3)], 1), ([(2, 3), (1, 3)], 1)):
+        made.clear()
+        found = N.components(spark.createDataFrame(pairs, "u long, v long"))
+        assert {tuple(r) for r in found.collect()} == {(x, 4 if x > 3 else 1) for p in pairs for x in p}
+        assert len(made) == 1 + 2 * rounds
+
+
+def test_bounds_of_shared_elements(monkeypatch):
+    """Never below the exact number, equal to it where no positions collide, whatever the table's size."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 64, 4000, dtype="uint64")
+    sets = [np.sort(rng.choice(base, n, replace=False)).view("int64") for n in (1, 40, 700, 3000)]
+    exact = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    for bits, at_once in (((16, 24), 1 << 20), ((16, 24), 100), ((4, 6), 50)):
+        monkeypatch.setattr(N.Shared, "BITS", bits)
+        monkeypatch.setattr(N.Shared, "AT_ONCE", at_once)
+        shared = N.Shared(sets, sets)
+        for k in range(4):
+            most = shared.most(k, np.arange(4))
+            assert (most >= exact[k]).all()
+            may = shared.may_link(k, np.arange(4)[::-1], 80)[::-1]
+            assert may[[100 * i >= 80 * (len(sets[k]) + len(x) - i) for i, x in zip(exact[k], sets, strict=True)]].all()
+            if bits[0] == 16:
+                assert (most <= exact[k] + 60).all() and may.tolist() == [m == k for m in range(4)]
+    assert len(shared.most(0, np.array([], dtype="int64"))) == 0
+
+
 def test_minima_estimate_similarity():
     import numpy as np
 
