@@ -1,8 +1,9 @@
 """Whole-text encoding with the tokenizers library, with a bounded cache of white-space chunks.
 
 The public word-level vocabulary drops white space before it merges, so a text's ids are the
-ids of its white-space chunks in turn. Chunks repeat; each distinct one is encoded by the
-library once per worker while it stays in the cache. ``Encoder.exact`` is the plain call that
+ids of its white-space chunks in turn, and a Latin chunk's are those of its pieces. Pieces repeat;
+each distinct one is encoded by the library once per worker while it stays in the cache, where
+a chunk that is a piece finds itself; the others are split anew, once a slice of texts. ``Encoder.exact`` is the plain call that
 tests compare with. Ids fit 16 bits and travel as little-endian unsigned 16-bit binary.
 """
 
@@ -11,8 +12,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections import ChainMap
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +31,15 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
 class Encoder:
     """Encodes texts to uint16 ids, without special tokens, an end id appended to each."""
 
-    #: Distinct chunks and pieces kept in a worker, of at most SHORT characters (about 200 bytes each, so 80 MB in all).
-    #: Frequent ones come early, so a full cache takes no more.
-    CACHE, SHORT = 200_000, 64
+    #: Distinct pieces, and chunks not in Latin letters, kept in a worker, of at most SHORT characters (about 200 bytes each, so
+    #: 80 MB in all). Frequent ones come early, so a full cache takes no more.
+    CACHE, SHORT = 400_000, 64
     #: Chunks of Latin letters, digits and punctuation but '<' (which could start an added token): NFC, one-to-one in lower case.
     LATIN = re.compile(r"[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]{1,64}")
-    #: The vocabulary's pre-tokenizer rule, on those.
-    RULE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u024f]+|[0-9]|[^\sa-z0-9\u00df-\u024f]+")
+    #: Whether some of many chunks, a line each, has other characters.
+    OTHER = re.compile(r"[^\n!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]")
+    #: The vocabulary's pre-tokenizer rule, on those; line ends are pieces.
+    RULE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u024f]+|[0-9]|[^\sa-z0-9\u00df-\u024f]+|\n")
     _made: dict[tuple[str, int], Encoder] = {}
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -46,8 +48,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("this vocabulary does not fit 16-bit ids")
@@ -79,33 +80,45 @@ class Encoder:
         return [raw[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]
 
     def _learn(self, missing: list[str]) -> list[bytes]:
-        latin, rule = self.LATIN.fullmatch, self.RULE.findall
-        split = [rule(chunk.lower()) if latin(chunk) else None for chunk in missing]
-        known = self.pieces
-        new = list({p for parts in split if parts for p in parts if p not in known})
+        """The ids of distinct chunks that are not known."""
+        latin, plain = missing, []
+        if max(map(len, missing)) > 64 or self.OTHER.search("\n".join(missing)):
+            fits = list(map(self.LATIN.fullmatch, missing))
+            latin, plain = ([c for c, x in zip(missing, fits, strict=True) if (x is None) == odd] for odd in (False, True))
+        # all chunks are split at once, by lines
+        parts = self.RULE.findall("\n".join(latin).lower())
+        pieces = list(dict.fromkeys(parts))
+        ids = dict(zip(pieces, map(self.known.get, pieces), strict=True)) | {"\n": b""}
+        new = [p for p, x in ids.items() if x is None]
         fresh: dict[str, bytes] = {}
         for i in range(0, len(new), 2000):
             fresh.update(zip(new[i : i + 2000], self._encode_pieces(new[i : i + 2000]), strict=True))
-        if len(known) < self.CACHE:
-            known.update(islice(((p, ids) for p, ids in fresh.items() if len(p) <= self.SHORT), self.CACHE - len(known)))
-        fresh = ChainMap(known, fresh)
-        plain = [chunk for chunk, parts in zip(missing, split, strict=True) if parts is None]
-        others = iter([ids for i in range(0, len(plain), 500) for ids in self._plain(plain[i : i + 500])])
-        return [next(others) if parts is None else fresh[parts[0]] if len(parts) == 1 else b"".join([fresh[p] for p in parts]) for parts in split]
+        ids.update(fresh)
+        others = dict(zip(plain, (x for i in range(0, len(plain), 500) for x in self._plain(plain[i : i + 500])), strict=True))
+        for found in (fresh, others):
+            if len(self.known) < self.CACHE:
+                self.known.update(islice(((x, y) for x, y in found.items() if len(x) <= self.SHORT), self.CACHE - len(self.known)))
+        values = list(map(ids.__getitem__, parts))
+        ends = np.cumsum(np.fromiter(map(len, values), dtype="int64", count=len(values)))
+        lines = np.fromiter(map("\n".__eq__, parts), dtype=bool, count=len(parts))
+        pool, bounds = b"".join(values), [0, *ends[lines].tolist(), *ends[-1:].tolist()]
+        found = [pool[i:j] for i, j in pairwise(bounds)]
+        if not plain:
+            return found
+        others.update(zip(latin, found, strict=True))
+        return [others[c] for c in missing]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (no nulls) one after another, end ids included, and how many each text has."""
         lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         words = lists.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        found = list(map(self.chunks.get, distinct))
+        distinct = _strings(words.dictionary)
+        found = list(map(self.known.get, distinct))
         missing = [i for i, x in enumerate(found) if x is None]
         if missing:
             learnt = self._learn([distinct[i] for i in missing])
             for i, ids in zip(missing, learnt, strict=True):
                 found[i] = ids
-            if len(self.chunks) < self.CACHE:
-                self.chunks.update(islice(((distinct[i], found[i]) for i in missing if len(distinct[i]) <= self.SHORT), self.CACHE - len(self.chunks)))
         # 32 bits suffice: a slice's texts hold a few MB, and a single text below 2 GB
         size = np.fromiter(map(len, found), dtype="int32", count=len(found)) // 2
         at = np.cumsum(size, dtype="int32") - size
@@ -123,6 +136,14 @@ class Encoder:
         return out, n + 1
 
 
+def _strings(chunks: pa.Array) -> list[str]:
+    """The values of an array of large strings without white space (no nulls), cut from one string: to_pylist() makes a scalar of each."""
+    if not len(chunks):
+        return []
+    whole = pa.LargeListArray.from_arrays(pa.array([0, len(chunks)], pa.int64()), chunks)
+    return pc.binary_join(whole, pa.scalar("\n", pa.large_string()))[0].as_py().split("\n")
+
+
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 8 << 20):
     """Cut a batch so that a slice's texts (null: empty) hold about ``most_bytes`` (a longer text is alone)."""
     sizes = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype="int64")

@@ -34,6 +34,21 @@ def test_encoder_equals_the_library(spark, sf, encoder, monkeypatch):
         assert [ids[i:j].tolist() for i, j in zip(ends, ends[1:], strict=False)] == encoder.exact(texts)
 
 
+def test_known_pieces_are_not_encoded_again(encoder, monkeypatch):
+    """A cache holds each piece once: chunks in capitals or with punctuation, and a piece alone, take no call of the library."""
+    own = Encoder(vocabulary_path())
+    own.encode(pa.array(["zorvan quillet don't", "x,"]))
+    before, asked = len(own.known), []
+    for name in ("_plain", "_encode_pieces"):
+        monkeypatch.setattr(own, name, lambda x, f=getattr(own, name): asked.extend(x) or f(x))
+    texts = ["Zorvan, QUILLET quillet,zorvan 't zorvan't x", "don ,, X,,", "", "zorvan 日本 " + "y" * 70]
+    ids, n = own.encode(pa.array(texts))
+    ends = [0, *np.cumsum(n).tolist()]
+    assert [ids[i:j].tolist() for i, j in zip(ends, ends[1:], strict=False)] == encoder.exact(texts)
+    assert sorted(asked) == sorted([",,", "日本", "y" * 70])
+    assert len(own.known) == before + 2
+
+
 def test_token_files(spark, sf, encoder, odd_docs, no_docs, tmp_path):
     docs = docs_of(spark.read.parquet(f"{sf}/documents.parquet"))
     want, at = [], 0
