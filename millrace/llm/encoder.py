@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from itertools import islice, pairwise
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
+#: Bytes of texts at a time where nothing is gained by more of them together.
+SLICE = 2 << 20
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -28,12 +30,35 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class Known:
+    """Ids of strings, in one Arrow array and two of numpy: a Python object for each takes many times their memory, and pins more."""
+
+    def __init__(self):
+        self.keys, self.ids, self.ends = pa.array([""], pa.large_string()), np.empty(0, dtype="<u2"), np.zeros(1, dtype="int32")
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each key: where its ids start and how many they are; and the places of keys that are not known."""
+        at = pc.index_in(keys, value_set=self.keys).fill_null(-1).to_numpy(zero_copy_only=False)
+        sizes = np.diff(self.ends, prepend=np.int32(0))
+        return (self.ends - sizes)[at], sizes[at], np.flatnonzero(at < 0)
+
+    def add(self, keys: list[str], ids: list[bytes]) -> None:
+        more = np.cumsum(_sizes(ids), dtype="int32") + self.ends[-1]
+        self.keys = pa.concat_arrays([self.keys, pa.array(keys, pa.large_string())])
+        self.ids, self.ends = np.concatenate([self.ids, np.frombuffer(b"".join(ids), dtype="<u2")]), np.concatenate([self.ends, more])
+
+
 class Encoder:
     """Encodes texts to uint16 ids, without special tokens, an end id appended to each."""
 
-    #: Distinct pieces, and chunks not in Latin letters, kept in a worker, of at most SHORT characters (about 200 bytes each, so
-    #: 80 MB in all). Frequent ones come early, so a full cache takes no more.
+    #: Distinct pieces, and chunks not in Latin letters, kept in a worker, of at most SHORT characters (about 30 bytes each, so
+    #: 12 MB in all). Frequent ones come early, so a full cache takes no more.
     CACHE, SHORT = 400_000, 64
+    #: Unknown chunks that are Python strings at a time.
+    PORTION = 20_000
     #: Chunks of Latin letters, digits and punctuation but '<' (which could start an added token): NFC, one-to-one in lower case.
     LATIN = re.compile(r"[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]{1,64}")
     #: Whether some of many chunks, a line each, has other characters.
@@ -48,7 +73,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
-        self.known: dict[str, bytes] = {"": b""}
+        self.known = Known()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("this vocabulary does not fit 16-bit ids")
@@ -79,63 +104,84 @@ class Encoder:
         raw, bounds = ids.tobytes(), [0, *(2 * ends).tolist()]
         return [raw[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]
 
-    def _learn(self, missing: list[str]) -> list[bytes]:
-        """The ids of distinct chunks that are not known."""
-        latin, plain = missing, []
-        if max(map(len, missing)) > 64 or self.OTHER.search("\n".join(missing)):
-            fits = list(map(self.LATIN.fullmatch, missing))
-            latin, plain = ([c for c, x in zip(missing, fits, strict=True) if (x is None) == odd] for odd in (False, True))
-        # all chunks are split at once, by lines
-        parts = self.RULE.findall("\n".join(latin).lower())
-        pieces = list(dict.fromkeys(parts))
-        ids = dict(zip(pieces, map(self.known.get, pieces), strict=True)) | {"\n": b""}
-        new = [p for p, x in ids.items() if x is None]
-        fresh: dict[str, bytes] = {}
-        for i in range(0, len(new), 2000):
-            fresh.update(zip(new[i : i + 2000], self._encode_pieces(new[i : i + 2000]), strict=True))
-        ids.update(fresh)
-        others = dict(zip(plain, (x for i in range(0, len(plain), 500) for x in self._plain(plain[i : i + 500])), strict=True))
-        for found in (fresh, others):
-            if len(self.known) < self.CACHE:
-                self.known.update(islice(((x, y) for x, y in found.items() if len(x) <= self.SHORT), self.CACHE - len(self.known)))
-        values = list(map(ids.__getitem__, parts))
-        ends = np.cumsum(np.fromiter(map(len, values), dtype="int64", count=len(values)))
-        lines = np.fromiter(map("\n".__eq__, parts), dtype=bool, count=len(parts))
-        pool, bounds = b"".join(values), [0, *ends[lines].tolist(), *ends[-1:].tolist()]
-        found = [pool[i:j] for i, j in pairwise(bounds)]
-        if not plain:
-            return found
-        others.update(zip(latin, found, strict=True))
-        return [others[c] for c in missing]
+    def _keep(self, keys: list[str], ids: list[bytes]) -> None:
+        room = self.CACHE - len(self.known)
+        short = list(islice((i for i, x in enumerate(keys) if len(x) <= self.SHORT), max(0, room)))
+        if short:
+            self.known.add([keys[i] for i in short], [ids[i] for i in short])
+
+    def _learn(self, missing: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct chunks that are not known: ids, where each one's start and how many they are."""
+        parts, plain, is_plain = [pa.array([], pa.large_string())], [], np.zeros(len(missing), dtype=bool)
+        for i in range(0, len(missing), self.PORTION):
+            latin = _strings(missing.slice(i, self.PORTION))
+            if max(map(len, latin)) > 64 or self.OTHER.search("\n".join(latin)):
+                fits = list(map(self.LATIN.fullmatch, latin))
+                is_plain[i : i + len(fits)] = [x is None for x in fits]
+                plain += [c for c, x in zip(latin, fits, strict=True) if x is None]
+                latin = [c for c, x in zip(latin, fits, strict=True) if x is not None]
+            # a portion's chunks are split at once, by lines
+            if latin:
+                parts.append(pa.array(self.RULE.findall("\n".join([*latin, ""]).lower()), pa.large_string()))
+        words = pa.concat_arrays(parts).dictionary_encode()
+        del parts
+        line = pc.index(words.dictionary, "\n").as_py()
+        starts, sizes, new = self.known.find(words.dictionary)
+        new = new[new != line]
+        pieces, pool, fresh = _strings(words.dictionary.take(pa.array(new))), self.known.ids, []
+        for i in range(0, len(pieces), 2000):
+            fresh += self._encode_pieces(pieces[i : i + 2000])
+        sizes[new] = _sizes(fresh)
+        starts[new] = len(pool) + np.cumsum(sizes[new], dtype="int32") - sizes[new]
+        if line >= 0:
+            sizes[line] = 0
+        index = words.indices.to_numpy(zero_copy_only=False)
+        ids, ends = _gathered(np.concatenate([pool, np.frombuffer(b"".join(fresh), dtype="<u2")]), starts[index], sizes[index])
+        others = [x for i in range(0, len(plain), 500) for x in self._plain(plain[i : i + 500])]
+        self._keep(pieces, fresh)
+        self._keep(plain, others)
+        size = np.empty(len(missing), dtype="int32")
+        size[~is_plain], size[is_plain] = np.diff(ends[index == line], prepend=np.int32(0)), _sizes(others)
+        start = np.empty_like(size)
+        for of, first in ((~is_plain, 0), (is_plain, len(ids))):
+            start[of] = first + np.cumsum(size[of], dtype="int32") - size[of]
+        return np.concatenate([ids, np.frombuffer(b"".join(others), dtype="<u2")]), start, size
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (no nulls) one after another, end ids included, and how many each text has."""
         lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
-        words = lists.flatten().dictionary_encode()
-        distinct = _strings(words.dictionary)
-        found = list(map(self.known.get, distinct))
-        missing = [i for i, x in enumerate(found) if x is None]
-        if missing:
-            learnt = self._learn([distinct[i] for i in missing])
-            for i, ids in zip(missing, learnt, strict=True):
-                found[i] = ids
-        # 32 bits suffice: a slice's texts hold a few MB, and a single text below 2 GB
-        size = np.fromiter(map(len, found), dtype="int32", count=len(found)) // 2
-        at = np.cumsum(size, dtype="int32") - size
-        pool = np.frombuffer(b"".join(found), dtype="<u2")
+        words, chunks = lists.flatten().dictionary_encode(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        del lists
+        starts, sizes, missing = self.known.find(words.dictionary)
+        pool = self.known.ids
+        if len(missing):
+            learnt, at, sizes[missing] = self._learn(words.dictionary.take(pa.array(missing)))
+            starts[missing] = len(pool) + at
+            pool = np.concatenate([pool, learnt])
         index = words.indices.to_numpy(zero_copy_only=False)
-        sizes = size[index]
-        ends = np.cumsum(sizes, dtype="int32")
-        total = int(ends[-1]) if len(ends) else 0
-        ids = pool[np.repeat(at[index] - (ends - sizes), sizes) + np.arange(total, dtype="int32")]
-        bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        ids, ends = _gathered(pool, starts[index], sizes[index])
+        bounds = np.concatenate([[0], ends])[chunks]
         n = np.diff(bounds).astype("int64")
-        out = np.empty(total + len(n), dtype="<u2")
-        out[np.arange(total, dtype="int32") + np.repeat(np.arange(len(n), dtype="int32"), n)] = ids
+        out = np.empty(len(ids) + len(n), dtype="<u2")
+        out[np.arange(len(ids), dtype="int32") + np.repeat(np.arange(len(n), dtype="int32"), n)] = ids
         out[np.cumsum(n + 1) - 1] = self.end_id
         return out, n + 1
 
 
+def _sizes(ids: list[bytes]) -> np.ndarray:
+    """How many ids each has."""
+    return np.fromiter(map(len, ids), dtype="int32", count=len(ids)) // 2
+
+
+def _gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of spans of the pool one after another, and where each span's end."""
+    # 32 bits suffice: a slice's texts hold a few MB, and a single text below 2 GB
+    ends = np.cumsum(sizes, dtype="int32")
+    at = np.repeat(starts - (ends - sizes), sizes)
+    at += np.arange(len(at), dtype="int32")
+    return pool[at], ends
+
+
 def _strings(chunks: pa.Array) -> list[str]:
     """The values of an array of large strings without white space (no nulls), cut from one string: to_pylist() makes a scalar of each."""
     if not len(chunks):

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import discard, lean, table, written
-from .encoder import slices
+from .encoder import SLICE, slices
 
 LENGTHS = (2, 3, 4)
 PROFILE, SAMPLE = 4000, 2000
@@ -157,7 +157,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
 
     def count(batches):
         for batch in batches:
-            for b in slices(batch, 1):
+            for b in slices(batch, 1, SLICE):
                 for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     x = folded(t)
                     for n in LENGTHS:
@@ -182,7 +182,7 @@ def identify(docs: DataFrame, model: Filter, key: str = "doc_id", text: str = "t
 
     def predict(batches):
         m = shared.value
-        for b in (s for batch in batches for s in slices(batch, 1)):
+        for b in (s for batch in batches for s in slices(batch, 1, SLICE)):
             got = [m.predict(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.float64())], ["key", "lang_pred", "score", "share"])
 
@@ -200,7 +200,7 @@ def accepted(docs: DataFrame, model: Filter, least_share: float, text: str = "te
 
     def keep(batches):
         m = shared.value
-        for b in (s for batch in batches for s in slices(batch, at)):
+        for b in (s for batch in batches for s in slices(batch, at, SLICE)):
             known = []
             for t in b.column(at).to_pylist():
                 lang, _, share = m.predict(t)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import discard, lean, own_names, release, table, text_of, written
-from .encoder import slices
+from .encoder import SLICE, slices
 
 WORDS, THRESHOLD = 2, 80
 BANDS, ROWS, SEED = 40, 5, 17
@@ -118,7 +118,7 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     def sketch(batches):
         shingler, minima = Shingler(words), Minima(bands * rows)
         for batch in batches:
-            for b in slices(batch, 1):
+            for b in slices(batch, 1, SLICE):
                 sets, halves = shingler.sets(b.column(1))
                 found = [minima.of(s) for s in sets]
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype="int32") * bands), pa.array(np.concatenate([band_keys(m, rows) for m in found])))
@@ -164,7 +164,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, words: int, bits) -> Data
         shingler = Shingler(words)
         for batch in batches:
             held = pa.array(may_hold(bits, batch.column(0).to_numpy()))
-            for b in slices(batch.filter(held), 1):
+            for b in slices(batch.filter(held), 1, SLICE):
                 found, halves = shingler.sets(b.column(1))
                 yield pa.RecordBatch.from_arrays([*halves, pa.array([s.view("int64") for s in found], pa.list_(pa.int64()))], ["h1", "h2", "set"])
 
@@ -424,7 +424,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     def hashed(batches):
         shingler = Shingler(words)
         for batch in batches:
-            for b in slices(batch, at):
+            for b in slices(batch, at, SLICE):
                 sets, halves = shingler.sets(b.column(at).fill_null(""))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(s) for s in sets], pa.int64()), *halves], [*b.schema.names, n, h1, h2])
 

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -49,6 +50,25 @@ def test_known_pieces_are_not_encoded_again(encoder, monkeypatch):
     assert len(own.known) == before + 2
 
 
+def test_memory_of_an_encoder(encoder):
+    """What a worker keeps is some 30 bytes a piece, not objects; what it takes meanwhile is bounded by portions, not by a slice's chunks."""
+    own = Encoder(vocabulary_path())
+    texts = pa.array([" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}zq,{i % 7}-{i}X" for i in range(60_000))])
+    own.encode(pa.array(["warm up"]))
+    tracemalloc.start()
+    try:
+        arrow = pa.total_allocated_bytes()
+        ids, n = own.encode(texts)
+        pieces, held = len(own.known), ids.nbytes + n.nbytes
+        kept, most = (x - held for x in tracemalloc.get_traced_memory())
+        kept += pa.total_allocated_bytes() - arrow
+    finally:
+        tracemalloc.stop()
+    assert pieces > 60_000 and kept < 50 * pieces
+    assert most < 600 * 60_000
+    assert ids.tolist() == encoder.exact(texts.to_pylist())[0]
+
+
 def test_token_files(spark, sf, encoder, odd_docs, no_docs, tmp_path):
     docs = docs_of(spark.read.parquet(f"{sf}/documents.parquet"))
     want, at = [], 0
